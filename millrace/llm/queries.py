@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, quality_rules, url_filters
+from millrace.llm import chat_format, quality_rules, simhash, source_mix, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,20 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_messages(m, linked).select("conv_id", "turn", "role", "call_id", "level", "result_turn", "n_results", F.array_join("errors", ",").alias("errors"), "json")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, sizes, goal = source_mix.mix_by_source(table(spark, sf_dir, "documents"))
+    facts = spark.createDataFrame([(s, n, float(goal[s])) for s, n in sizes.items()], "s string, source_size long, target double")  # one row for each source, bounded by the mix
+    rows = rows.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("s")), "left")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_chat_format, op8_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_source_mix, op4_simhash, op5_chat_format, op8_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
