@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, quality_rules, simhash, source_mix, url_filters
+from millrace.llm import chat_format, lexical_packing, order_minhash, quality_rules, simhash, source_mix, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,13 +71,23 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lexical_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op4_simhash, op5_chat_format, op8_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_source_mix, op2_order_minhash, op4_simhash, op5_chat_format, op7_lexical_packing, op8_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
