@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, lexical_packing, order_minhash, quality_rules, simhash, source_mix, url_filters
+from millrace.llm import chat_format, lexical_packing, order_minhash, quality_rules, simhash, source_mix, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +86,12 @@ def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op2_order_minhash, op4_simhash, op5_chat_format, op7_lexical_packing, op8_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_source_mix, op2_order_minhash, op4_simhash, op5_chat_format, op7_lexical_packing, op8_url_filters, op9_suffix_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
