@@ -39,7 +39,9 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     n = F.col("_n")
-    df = docs.drop(*MEASURES, "failed_bits").withColumns({"_w": words(F.col(text)), "_l": lines})
+    df = docs.drop(*MEASURES, "failed_bits")
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    df = df.withColumns({"_w": words(F.col(text)), "_l": lines})
     df = df.withColumns({"_n": F.size("_w"), "_h": F.transform("_w", lambda w: F.xxhash64(w))})
     hashed = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WINDOW)]))
     df = df.withColumn("_h", F.when(n > WINDOW, hashed))
@@ -56,16 +58,17 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     m = F.size("_s")
     steps = F.zip_with(F.slice("_s", F.lit(2), m - 1), F.slice("_s", F.lit(1), m - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
     covered = F.when(F.col("_s").isNull() | (m < 1), F.lit(0)).otherwise(F.aggregate(steps, F.lit(WINDOW), lambda a, x: a + x))
-    return df.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": covered.cast("long"),
-        }
-    ).drop("_w", "_l", "_n", "_h", "_k", "_s")
+    measures = {
+        "n_words": n,
+        "word_chars": F.length(F.translate(t, SPACES, "")),
+        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "n_lines": F.size("_l"),
+        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
+        "n_repeat_words": covered,
+    }
+    # a generator, as later filters would otherwise move into the expressions and evaluate them again and again
+    once = F.explode(F.array(F.struct(*[m.cast("long").alias(name) for name, m in measures.items()])))
+    return df.select(*kept, once.alias("_m")).select(*kept, *[F.col(f"_m.{name}").alias(name) for name in measures])
 
 
 def ledger(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
