@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.llm.run_index import RunIndex
 from millrace.llm.work import work_root, written
@@ -231,10 +232,11 @@ def _gathered(table: pa.Table, column: str, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype) for x in blobs]) if blobs else np.zeros(0, dtype)
 
 
-def _bucketed(docs: DataFrame, ident: str, text: str, n: int) -> DataFrame:
-    """bucket, doc_id and t (bytes), in a table that is bucketed so that later stages need not shuffle it."""
+def _bucketed(docs: DataFrame, ident: str, text: str, n: int, more: list[str]) -> DataFrame:
+    """bucket, doc_id, t (bytes) and more columns as x0, x1, ..., in a table that is bucketed so that later stages need not shuffle it."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    rest = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(more)]
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), *rest)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     name = f"texts_{uuid.uuid4().hex}"
     rows.repartition(n, "bucket").write.option("compression", "zstd").option("path", f"{work_root(spark)}/{name}").bucketBy(n, "bucket").saveAsTable(name)
@@ -247,12 +249,13 @@ def _drop(spark, name: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _marked(docs: DataFrame, ident: str, text: str, emit, schema: str) -> DataFrame:
+def _marked(docs: DataFrame, ident: str, text: str, emit, schema, more: list[str] = ()) -> DataFrame:
     """``emit(bucket, removed bytes)``, a table, of every bucket."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     # buckets grow with the root of the input, as each sends to each shard, up to 64 MB
     n = max(1, ceil(max(sqrt(size / 16e3), size / 64e6)))
-    texts = _bucketed(docs, ident, text, n)
+    full = _bucketed(docs, ident, text, n, more)
+    texts = full.select("bucket", "doc_id", "t")
 
     def send_keys(table: pa.Table) -> pa.Table:
         bucket = _texts(table)
@@ -315,7 +318,7 @@ def _marked(docs: DataFrame, ident: str, text: str, emit, schema: str) -> DataFr
     found = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_contexts, f"{side}, keys binary, entries binary, owners binary")
     marked = written(found.groupBy("shard").applyInArrow(mark, f"{side}, marks binary"), "marks")
     sides = answers.withColumn("marks", F.lit(None).cast("binary")).unionByName(marked.select("bucket", "shard", F.lit(None).cast("binary").alias("shared"), F.lit(None).cast("int").alias("n"), "marks"))
-    return texts.groupBy("bucket").cogroup(sides.groupBy("bucket")).applyInArrow(apply, schema)
+    return full.groupBy("bucket").cogroup(sides.groupBy("bucket")).applyInArrow(apply, schema)
 
 
 def _each(bucket: Bucket, gone: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
@@ -345,10 +348,13 @@ def removals(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Data
 
 
 def cleaned(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ``kept`` (the text that stays, cut characters replaced) of rows, with n_removed; ids should be distinct."""
+    """``docs`` with what stays of each text (broken characters at cuts left out) and ``n_removed`` bytes."""
+    more = [c for c in docs.columns if c not in (text, "n_removed")]
+    schema = StructType([StructField(c, docs.schema[c].dataType) for c in more] + [StructField(text, StringType()), StructField("n_removed", LongType())])
 
     def emit(table: pa.Table, bucket: Bucket, gone: np.ndarray) -> pa.Table:
         rows = list(_each(bucket, gone))
-        return pa.table({"doc_id": table["doc_id"], "kept": pa.array([r[0].decode(errors="ignore") for r in rows], pa.string()), "n_removed": pa.array([r[1] for r in rows], pa.int64())})
+        cols = {c: table[f"x{k}"] for k, c in enumerate(more)}
+        return pa.table(cols | {text: pa.array([r[0].decode(errors="ignore") for r in rows], pa.string()), "n_removed": pa.array([r[1] for r in rows], pa.int64())})
 
-    return _marked(docs, ident, text, emit, "doc_id long, kept string, n_removed long")
+    return _marked(docs, ident, text, emit, schema, more)
