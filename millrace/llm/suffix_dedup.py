@@ -190,20 +190,29 @@ def marks(key: np.ndarray, entry: np.ndarray, owner: np.ndarray) -> np.ndarray:
     other[1:] |= same
     other[:-1] |= same
     reps = np.flatnonzero(other)
-    if len(reps):
-        reps = reps[np.argsort(least[reps], kind="stable")]
-        rows, own = entry[heads[reps]], least[reps]
-        column = np.arange(STRINGS)
-        valid = np.zeros((len(reps), WIDTH + 1), bool)
+    of = np.zeros(len(heads), np.uint32)
+    column = np.arange(STRINGS)
+    for some in _by_key(reps, kk[reps]):
+        some = some[np.argsort(least[some], kind="stable")]
+        rows, own = entry[heads[some]], least[some]
+        valid = np.zeros((len(some), WIDTH + 1), bool)
         valid[:, :STRINGS] = (column >= rows[:, WIDTH, None]) & (column <= rows[:, WIDTH + 1, None])
         found = RunIndex(rows[:, :WIDTH], own, valid, LENGTH).owners(STRINGS)
-        bits = ((found < own[:, None]) & valid[:, :STRINGS]) @ (np.uint32(1) << column.astype(np.uint32))
-        of = np.zeros(len(heads), np.uint32)
-        of[reps] = bits.astype(np.uint32)
-        out[order] |= np.where(smaller, 0, of[kind]).astype(np.uint32)
+        of[some] = ((found < own[:, None]) & valid[:, :STRINGS]) @ (np.uint32(1) << column.astype(np.uint32))
+    out[order] |= np.where(smaller, 0, of[kind]).astype(np.uint32)
     return out
 
 
+def _by_key(rows: np.ndarray, key: np.ndarray, size: int = 8192) -> Iterator[np.ndarray]:
+    """``rows`` in parts of about ``size``, for an index each; no key is in two parts."""
+    heads = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key)) if len(key) else np.zeros(1, int)
+    start = 0
+    for head in heads[1:].tolist():
+        if head - start >= size or head == len(key):
+            yield rows[start:head]
+            start = head
+
+
 def removed(bucket: Bucket, contexts: Contexts, mark: np.ndarray) -> np.ndarray:
     """Of the bucket's bytes: those to remove."""
     b, at = bucket, contexts.at
@@ -253,7 +262,7 @@ def _marked(docs: DataFrame, ident: str, text: str, emit, schema, more: list[str
     """``emit(bucket, removed bytes)``, a table, of every bucket."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     # buckets grow with the root of the input, as each sends to each shard, up to 64 MB
-    n = max(1, ceil(max(sqrt(size / 16e3), size / 64e6)))
+    n = max(1, ceil(max(sqrt(size / 8e3), size / 64e6)))
     full = _bucketed(docs, ident, text, n, more)
     texts = full.select("bucket", "doc_id", "t")
 
