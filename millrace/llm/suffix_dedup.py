@@ -23,11 +23,8 @@ Texts under LENGTH bytes stay. Empty table: empty result. Extra columns are igno
 ``removals``; ``cleaned`` keeps the columns and replaces the text.
 """
 
-import atexit
-import uuid
 from collections.abc import Iterator
 from hashlib import sha256
-from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from millrace.llm.exchange import KEY_BITS, SIDE, bucketed, cut_by_shard, gathered, shared, shared_keys
 from millrace.llm.run_index import RunIndex
-from millrace.llm.work import work_root, written
+from millrace.llm.work import written
 
 LENGTH = 50
 KGRAM = 24
@@ -46,7 +44,6 @@ NUL, PAD = 0xFE, 0xFF  # bytes that UTF-8 never has
 LAST = np.iinfo(np.int64).max
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
-KEY_BITS = 40
 
 
 class Bucket:
@@ -111,17 +108,14 @@ class Bucket:
         ends = np.append(heads[1:], len(key))
         return key[heads], owner[heads] != owner[ends - 1] if len(key) else np.zeros(0, bool)
 
-    def contexts(self, shared: np.ndarray) -> "Contexts":
-        return Contexts(self, shared)
-
 
 class Contexts:
-    """Distinct contexts of a bucket's occurrences of ``shared`` keys (sorted), by key."""
+    """Distinct contexts of a bucket's occurrences of ``known`` keys (sorted), by key."""
 
-    def __init__(self, bucket: Bucket, shared: np.ndarray):
-        if len(shared):
-            at = np.searchsorted(shared, bucket.key)
-            self.at = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == bucket.key)
+    def __init__(self, bucket: Bucket, known: np.ndarray):
+        if len(known):
+            at = np.searchsorted(known, bucket.key)
+            self.at = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == bucket.key)
         else:
             self.at = np.zeros(0, np.int64)
         b, at = bucket, self.at
@@ -161,11 +155,6 @@ def row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of keys, so that keys in order are in order of shards."""
-    return (key >> 8) * shards >> (KEY_BITS - 8)
-
-
 def marks(key: np.ndarray, entry: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each context: bits of its strings that a smaller owner has."""
     n = len(key)
@@ -235,76 +224,18 @@ def _texts(table: pa.Table) -> Bucket:
     return Bucket(table["doc_id"].to_pylist(), table["t"].to_pylist())
 
 
-def _gathered(table: pa.Table, column: str, dtype) -> np.ndarray:
-    """The blobs of a bucket from all shards, in order of shards."""
-    blobs = table.sort_by("shard")[column].to_pylist()
-    return np.concatenate([np.frombuffer(x, dtype) for x in blobs]) if blobs else np.zeros(0, dtype)
-
-
-def _bucketed(docs: DataFrame, ident: str, text: str, n: int, more: list[str]) -> DataFrame:
-    """bucket, doc_id, t (bytes) and more columns as x0, x1, ..., in a table that is bucketed so that later stages need not shuffle it."""
-    spark = docs.sparkSession
-    rest = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(more)]
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), *rest)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    name = f"texts_{uuid.uuid4().hex}"
-    rows.repartition(n, "bucket").write.option("compression", "zstd").option("path", f"{work_root(spark)}/{name}").bucketBy(n, "bucket").saveAsTable(name)
-    atexit.register(_drop, spark, name)
-    return spark.table(name)
-
-
-def _drop(spark, name: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
 def _marked(docs: DataFrame, ident: str, text: str, emit, schema, more: list[str] = ()) -> DataFrame:
     """``emit(bucket, removed bytes)``, a table, of every bucket."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
-    # buckets grow with the root of the input, as each sends to each shard, up to 64 MB
-    n = max(1, ceil(max(sqrt(size / 8e3), size / 64e6)))
-    full = _bucketed(docs, ident, text, n, more)
+    full, n = bucketed(docs, ident, text, more)
     texts = full.select("bucket", "doc_id", "t")
 
-    def send_keys(table: pa.Table) -> pa.Table:
-        bucket = _texts(table)
-        key, several = bucket.keys()
-        shard, first = np.unique(shard_of(key, n), return_index=True)
-        cut = lambda x: np.split(x, first[1:]) if len(first) else []
-        return pa.table({
-            "bucket": pa.array([table["bucket"][0].as_py()] * len(first), pa.int32()), "shard": pa.array(shard, pa.int32()),
-            "keys": pa.array([x.astype("<u4").tobytes() for x in cut(key & 0xFFFFFFFF)], pa.binary()), "several": pa.array([np.packbits(x).tobytes() for x in cut(several)], pa.binary()),
-        })
-
-    def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, "<u4") for x in table["keys"].to_pylist()]
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(table["several"].to_pylist(), keys, strict=True)])
-        key = np.concatenate(keys)
-        order = np.argsort(key)
-        ordered = key[order]
-        same = ordered[1:] == ordered[:-1]
-        shared = several.astype(bool)
-        shared[order[1:][same]] = True
-        shared[order[:-1][same]] = True
-        out = np.split(shared, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"bucket": table["bucket"], "shard": table["shard"], "shared": pa.array([np.packbits(x).tobytes() for x in out], pa.binary()), "n": pa.array([len(x) for x in out], pa.int32())})
-
-    def shared_keys(bucket: Bucket, answers: pa.Table) -> np.ndarray:
-        answers = answers.sort_by("shard")
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8))[:k] for x, k in zip(answers["shared"].to_pylist(), answers["n"].to_pylist(), strict=True)]
-        key, _ = bucket.keys()
-        return key[np.concatenate(bits).astype(bool)] if bits else key[:0]
-
     def send_contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            table = None
-        bucket = _texts(table) if table is not None else Bucket([], [])
-        c = bucket.contexts(shared_keys(bucket, answers))
-        shard, first = np.unique(shard_of(c.key, n), return_index=True)
-        cut = lambda x: np.split(x, first[1:]) if len(first) else []
+        bucket = _texts(table)
+        c = Contexts(bucket, shared_keys(bucket, answers))
+        shard, cut = cut_by_shard(c.key, n)
         blob = lambda x, kind: pa.array([y.astype(kind).tobytes() for y in cut(x)], pa.binary())
-        at = table["bucket"][0].as_py() if table is not None else 0
-        return pa.table({"bucket": pa.array([at] * len(first), pa.int32()), "shard": pa.array(shard, pa.int32()), "keys": blob(c.key, "<i8"), "entries": blob(c.entry, "u1"), "owners": blob(c.owner, "<i8")})
+        at = table["bucket"][0].as_py()
+        return pa.table({"bucket": pa.array([at] * len(shard), pa.int32()), "shard": pa.array(shard, pa.int32()), "keys": blob(c.key, "<i8"), "entries": blob(c.entry, "u1"), "owners": blob(c.owner, "<i8")})
 
     def mark(table: pa.Table) -> pa.Table:
         get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
@@ -317,15 +248,13 @@ def _marked(docs: DataFrame, ident: str, text: str, emit, schema, more: list[str
         table = table.sort_by([("doc_id", "ascending"), ("t", "ascending")])
         bucket = _texts(table)
         answers = sides.filter(pa.compute.is_valid(sides["shared"]))
-        got = _gathered(sides.filter(pa.compute.is_valid(sides["marks"])), "marks", "<u4")
-        contexts = bucket.contexts(shared_keys(bucket, answers))
+        got = gathered(sides.filter(pa.compute.is_valid(sides["marks"])), "marks", "<u4")
+        contexts = Contexts(bucket, shared_keys(bucket, answers))
         return emit(table, bucket, removed(bucket, contexts, got))
 
-    side = "bucket int, shard int"
-    sent = texts.groupBy("bucket").applyInArrow(send_keys, f"{side}, keys binary, several binary")
-    answers = written(sent.groupBy("shard").applyInArrow(answer, f"{side}, shared binary, n int"), "answers")
-    found = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_contexts, f"{side}, keys binary, entries binary, owners binary")
-    marked = written(found.groupBy("shard").applyInArrow(mark, f"{side}, marks binary"), "marks")
+    answers = shared(texts, _texts, n)
+    found = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_contexts, f"{SIDE}, keys binary, entries binary, owners binary")
+    marked = written(found.groupBy("shard").applyInArrow(mark, f"{SIDE}, marks binary"), "marks")
     sides = answers.withColumn("marks", F.lit(None).cast("binary")).unionByName(marked.select("bucket", "shard", F.lit(None).cast("binary").alias("shared"), F.lit(None).cast("int").alias("n"), "marks"))
     return full.groupBy("bucket").cogroup(sides.groupBy("bucket")).applyInArrow(apply, schema)
 
