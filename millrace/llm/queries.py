@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, lexical_packing, license_scan, order_minhash, quality_rules, simhash, source_mix, suffix_dedup, url_filters
+from millrace.llm import chat_format, lexical_packing, license_scan, order_minhash, passage_chains, quality_rules, simhash, source_mix, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chains.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -95,7 +99,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op2_order_minhash, op3_license_scan, op4_simhash, op5_chat_format, op7_lexical_packing, op8_url_filters, op9_suffix_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_source_mix, op2_order_minhash, op3_license_scan, op4_simhash, op5_chat_format, op6_passage_chains, op7_lexical_packing, op8_url_filters, op9_suffix_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
