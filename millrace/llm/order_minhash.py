@@ -41,7 +41,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _kmers(points: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-mers, from those of lengths that are powers of two."""
     n = len(points) - k + 1
-    part, size, power, out, done = points.astype(np.uint64), 1, _A, None, 0
+    part, size, power, out, done = points.astype(np.uint64), 1, np.array([_A]), None, 0
     while k:
         if k & 1:
             out = part[done : done + n].copy() if out is None else out * power + part[done : done + n]

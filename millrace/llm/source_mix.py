@@ -61,33 +61,34 @@ def flow(patterns: dict, quotas: dict, repeats: int = 2) -> dict:
         room = {p: (cost + 1) * patterns[p] - used[p] for p in patterns}
         for start in sorted(patterns, key=str):
             while room[start] > 0:
-                came, todo, end = {}, [], None
+                came, todo, end = {}, [], ()  # sources are wrapped in tuples, as one may be null
                 for s in sorted((s for s in start if s in quotas), key=str):
-                    came[s] = (None, start)
+                    came[s] = ((), start)
                     todo.append(s)
-                while todo and end is None:  # breadth first: moving words between sources costs nothing
+                while todo and not end:  # breadth first: moving words between sources costs nothing
                     s = todo.pop(0)
                     if left[s] > 0:
-                        end = s
+                        end = (s,)
                         break
                     for p in holds[s]:
                         if given[p, s] > 0:
                             for t in p:
                                 if t in quotas and t not in came:
-                                    came[t] = (s, p)
+                                    came[t] = ((s,), p)
                                     todo.append(t)
-                if end is None:
+                if not end:
                     break
-                path, s = [], end
-                while s is not None:
-                    path.append((came[s][0], came[s][1], s))
-                    s = came[s][0]
-                words = min([room[start], left[end], *(given[p, a] for a, p, _ in path if a is not None)])
+                path, at = [], end
+                while at:
+                    before, p = came[at[0]]
+                    path.append((before, p, at[0]))
+                    at = before
+                words = min([room[start], left[end[0]], *(given[p, a[0]] for a, p, _ in path if a)])
                 for a, p, b in path:
                     given[p, b] += words
-                    if a is not None:
-                        given[p, a] -= words
-                left[end] -= words
+                    if a:
+                        given[p, a[0]] -= words
+                left[end[0]] -= words
                 room[start] -= words
                 used[start] += words
     return given

@@ -1,0 +1,31 @@
+import corpus_pipeline as c
+from millrace.llm import quality_rules, simhash, source_mix, suffix_dedup
+from millrace.llm.queries import oracle_sql, queries
+from oracle import SF, compare
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = c.quality(spark, docs, SF).cache()
+    assert kept.columns == c.COLUMNS and kept.count() == quality_rules.judge(quality_rules.ledger(docs), "2026-1").where("kept").count()
+    near = c.near_dedup(spark, kept, SF).cache()
+    assert near.columns == c.COLUMNS and near.count() == simhash.near_duplicates(kept).select("component_id").distinct().count()
+    exact = c.exact_dedup(spark, near, SF).cache()
+    removed = suffix_dedup.removals(near)
+    gone = removed.where("n_removed = n_bytes AND n_removed > 0").count()
+    assert exact.count() == near.count() - gone
+    mixed = c.mixing(spark, exact, SF).cache()
+    taken = source_mix.mix_by_source(exact)[0]
+    times = {r.doc_id: int(r.taken / r.size + 0.5) if r["size"] else 0 for r in taken.collect()}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in times.items() if n}
+    packed = c.packing(spark, mixed, SF)
+    assert packed.groupBy("doc_id").sum("length").count() == mixed.select("doc_id").distinct().count()
+
+
+def test_run(spark):
+    assert c.run(spark, SF).count() > 0 and [n for n, _ in c.STAGES] == ["quality_rules", "simhash_near_dedup", "suffix_dedup", "source_mix", "lexical_packing"]
+
+
+def test_sql(spark):
+    for name, sql in oracle_sql().items():
+        compare(spark, queries()[name], sql)

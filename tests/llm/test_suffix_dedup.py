@@ -1,0 +1,56 @@
+from collections import Counter
+from hashlib import sha256
+
+import numpy as np
+
+from millrace.llm import suffix_dedup
+from millrace.llm.run_index import RunIndex
+
+
+def brute(texts, n=50):
+    rows = [(2**63 - 1 if i is None else i, (t or "").encode()) for i, t in texts]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - n + 1):
+            first[t[k : k + n]] = min(i, first.get(t[k : k + n], i))
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for k in range(len(t) - n + 1):
+            if first[t[k : k + n]] < i:
+                gone[k : k + n] = b"\1" * n
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        runs = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
+        yield len(t), sum(gone), runs, sha256(kept).hexdigest()
+
+
+def test_removals(docs, texts):
+    rows = suffix_dedup.removals(docs).collect()
+    want = Counter((i, *b) for (i, _), b in zip(texts, brute(texts), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
+
+
+def test_cleaned(docs, texts):
+    rows = suffix_dedup.cleaned(docs).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in rows) == Counter((i, b[1]) for (i, _), b in zip(texts, brute(texts), strict=True))
+    assert all(r.key == "k" and r.bucket == "b" for r in rows)
+
+
+def test_run_index():
+    rng = np.random.default_rng(1)
+    length, width, n = 11, 17, 300
+    rows = rng.integers(97, 99, (40, width)).astype(np.uint8)[rng.integers(0, 40, n)].copy()
+    rows[np.arange(n), rng.integers(0, width, n)] = rng.integers(97, 123, n)
+    owners, valid = np.sort(rng.integers(0, n, n)), np.zeros((n, width + 1), bool)
+    valid[:, : width - length + 1] = rng.random((n, width - length + 1)) < 0.9
+    index = RunIndex(rows, owners, valid, length)
+    assert len(index.starts) < n * width
+    got, least = index.owners(width - length + 1), {}
+    for r in range(n):
+        for c in np.flatnonzero(valid[r]):
+            key = rows[r, c : c + length].tobytes()
+            least[key] = min(owners[r], least.get(key, owners[r]))
+    assert all(got[r, c] == least[rows[r, c : c + length].tobytes()] for r in range(n) for c in np.flatnonzero(valid[r]))
+
+
+def test_empty(empty):
+    assert suffix_dedup.removals(empty).count() == 0 and suffix_dedup.cleaned(empty).count() == 0
