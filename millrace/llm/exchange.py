@@ -30,14 +30,18 @@ def bucket_of(ident, n: int):
     return F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
 
 
-def bucketed(docs: DataFrame, ident: str, text: str, more: list[str] = ()) -> tuple[DataFrame, int]:
-    """bucket, doc_id, t (bytes) and more columns as x0, x1, ...; and the number of buckets."""
+def n_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
+
+
+def bucketed(docs: DataFrame, ident: str, text: str, more: list[str] = (), size: int | None = None) -> tuple[DataFrame, int]:
+    """bucket, doc_id, t (bytes) and more columns as x0, x1, ...; and the number of buckets for ``size`` bytes."""
     spark = docs.sparkSession
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
+    size = n_bytes(docs, text) if size is None else size
     # buckets grow with the root of the input, as each sends to each shard, up to 64 MB
     n = max(1, ceil(max(sqrt(size / 8e3), size / 64e6)))
     rest = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(more)]
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), *rest)
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("t"), *rest)
     rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), n))
     name = f"texts_{uuid.uuid4().hex}"
     rows.repartition(n, "bucket").write.option("compression", "zstd").option("path", f"{work_root(spark)}/{name}").bucketBy(n, "bucket").saveAsTable(name)
