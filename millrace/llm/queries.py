@@ -52,16 +52,18 @@ SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn is a call of tool ``reply`` that follows the user turn two before it; the next assistant turn is its result."""
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.xxhash64("role", "text").alias("message"))
     ident = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
     turn = F.col("turn")
     calls = m.where("role = 'user'").select(
-        "conv_id", "turn", ident(turn).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("prompt"))).alias("arguments"), F.when(turn >= 2, ident(turn - 2)).alias("after"),
+        "conv_id", "turn", "message", ident(turn).alias("call_id"), F.replace("role", F.lit("user"), F.lit("reply")).alias("name"),
+        F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("prompt"))).alias("arguments"), F.when(turn >= 2, ident(turn - 2)).alias("after"),
     )
     results = m.where("role = 'assistant'").select("conv_id", "turn", ident(turn - 1).alias("call_id"))
     schemas = spark.createDataFrame([("reply", "prompt", "STRING", True), ("reply", "turn", "BIGINT", True)], "name string, field string, type string, required boolean")
-    linked = chat_format.link_calls(calls, results, schemas)
-    return chat_format.format_messages(m, linked).select("conv_id", "turn", "role", "call_id", "level", "result_turn", "n_results", F.array_join("errors", ",").alias("errors"), "json")
+    linked = chat_format.link_calls(calls, results, schemas, keep=("message",))
+    rows = chat_format.format_messages(m, linked, ("conv_id", "turn", "message")).withColumn("call", F.get("calls", F.lit(0)))
+    return rows.select("conv_id", "turn", "role", "call.call_id", "call.level", "call.result_turn", "call.n_results", F.array_join("call.errors", ",").alias("errors"), "json")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
