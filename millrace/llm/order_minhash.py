@@ -1,10 +1,10 @@
 """Order MinHash fingerprints (operator 2).
 
 A text's k-mers of code points are numbered by occurrence, so that all differ, and hashed.
-The hash deals them to ``slots``; of each slot the ``tuple_size`` smallest are kept in text
-order and hashed as a tuple. Moving a passage changes tuples though the set of k-mers stays,
-so likeness, the share of equal slots, follows edit distance and not set overlap alone.
-Slots empty on both sides don't count.
+Each of ``slots`` positions of the signature has a permutation of its own: the ``tuple_size``
+least k-mers under it are kept in text order and hashed as a tuple. Moving a passage changes
+tuples though the set of k-mers stays, so likeness, the share of equal positions, follows edit
+distance and not set overlap alone.
 
 Texts shorter than k are one k-mer; null and empty texts have none: they are alike (1.0) to
 each other and unlike (0.0) any other. Equal texts have equal fingerprints.
@@ -12,11 +12,12 @@ each other and unlike (0.0) any other. Equal texts have equal fingerprints.
 ``with_next`` pairs each row with the next in order of descending ids without a global sort:
 ids are cut into ranges by approximate quantiles, and the top row of a range is copied into
 the range before. Ids may be null (last) or repeat (then by text); a hash shuffle moves each
-text once. Extra columns are ignored; an empty table gives an empty table; a lone row is its
-own next.
+text once. Rows of one id are in one range, which is read as a stream; repeated texts are hashed
+once. Extra columns are ignored; an empty table gives an empty table; a lone row is its own next.
 """
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from hashlib import sha256
 from math import ceil, inf
 
@@ -53,11 +54,30 @@ def _kmers(points: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def sketch(points: np.ndarray, k: int = K, slots: int = SLOTS, tuple_size: int = TUPLE) -> np.ndarray:
-    """16 bits for each slot; 0 for an empty one."""
-    out = np.zeros(slots, np.uint16)
+_rooms: dict[int, np.ndarray] = {}
+
+
+def _room(n: int) -> np.ndarray:
+    """Memory for products, kept between texts."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _rooms:
+        _rooms[size] = np.empty(size, np.uint32)
+    return _rooms[size]
+
+
+@cache
+def _factors(n: int) -> np.ndarray:
+    """Odd 32-bit factors, one for each permutation."""
+    return (_mixed(np.arange(1, n + 1, dtype=np.uint64) * _A) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def sketch(points: np.ndarray, k: int = K, slots: int = SLOTS, tuple_size: int = TUPLE, some: int = 2048) -> np.ndarray:
+    """16 bits for each position; all 0 without k-mers.
+
+    ``some``: k-mers looked at in one go; the least of all are the least of the least of each part.
+    """
     if not len(points):
-        return out
+        return np.zeros(slots, np.uint16)
     with np.errstate(over="ignore"):
         h = _kmers(points, min(k, len(points)))
         order = np.argsort(h)
@@ -67,35 +87,32 @@ def sketch(points: np.ndarray, k: int = K, slots: int = SLOTS, tuple_size: int =
             inner[1:-1] = same
             at = np.flatnonzero(inner[1:] | inner[:-1])  # of k-mers that occur twice or more
             run = np.cumsum(~inner[:-1][at])
-            place = order[at]
-            place = place[np.lexsort((place, run))]
+            place = (np.sort(run.astype(np.uint64) << np.uint64(32) | order[at].astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             starts = np.flatnonzero(np.diff(run, prepend=0))
             h[place] += (np.arange(len(at)) - starts[run - 1]).astype(np.uint64) * _B
         h = _mixed(h)
-        bits = np.uint64(int(slots).bit_length() - 1)
-        likely = 8 * tuple_size * slots
-        few = np.flatnonzero((h << bits) < np.uint64(2**64 * likely // len(h))) if len(h) > 2 * likely else np.arange(len(h))
-        for some in (few, np.arange(len(h))):  # the smallest of each slot are almost always among the few
-            order = some[np.argsort(h[some])]
-            bounds = np.searchsorted(h[order], np.arange(slots, dtype=np.uint64) << (np.uint64(64) - bits))
-            if len(some) == len(h) or np.diff(np.append(bounds, len(order))).min() >= tuple_size:
-                break
-        ends = np.append(bounds[1:], len(order))
-        least = bounds[:, None] + np.arange(tuple_size)
-        there = least < ends[:, None]
-        kept = order[np.minimum(least, len(order) - 1)]
-        place = np.where(there, kept, len(h))  # missing ones last
+        short = (h >> np.uint64(32)).astype(np.uint32)
+        factors, rows, room = _factors(slots)[:, None], np.arange(slots), _room(slots * min(some, len(h)))
+        value, place = np.empty((slots, 0), np.uint32), np.empty((slots, 0), np.int64)
+        for a in range(0, len(h), some):
+            own = short[None, a : a + some]
+            part = np.multiply(own, factors, out=room[: slots * own.shape[1]].reshape(slots, -1))
+            for _ in range(min(tuple_size, part.shape[1])):
+                least = part.argmin(axis=1)  # of equals the first in the text
+                value, place = np.column_stack((value, part[rows, least])), np.column_stack((place, a + least))
+                part[rows, least] = np.iinfo(np.uint32).max
+        if place.shape[1] > tuple_size:
+            kept = np.argsort(value, axis=1, kind="stable")[:, :tuple_size]
+            place = np.take_along_axis(place, kept, 1)
         place.sort(axis=1)
-        values = np.where(place < len(h), h[np.minimum(place, len(h) - 1)], np.uint64(0))
         mixed = np.zeros(slots, np.uint64)
-        for j in range(tuple_size):
-            mixed = _mixed(mixed * _B + values[:, j] + np.uint64(j + 1))
-    return np.where(there[:, 0], np.maximum(mixed & np.uint64(0xFFFF), 1), 0).astype(np.uint16)
+        for j in range(place.shape[1]):
+            mixed = _mixed(mixed * _B + h[place[:, j]] + np.uint64(j + 1))
+    return np.maximum(mixed & np.uint64(0xFFFF), 1).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    both = (a > 0) | (b > 0)
-    return float((a == b)[both].mean()) if both.any() else 1.0
+    return float((a == b).mean())
 
 
 def _points(text: str) -> np.ndarray:
@@ -106,7 +123,7 @@ def with_next(docs: DataFrame, ident: str, text: str, found: Callable, schema: s
     """``found(id, text, sketch, next text, next sketch)`` of each row and the next in descending order of ids."""
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ids = rows.select("doc_id")
-    n_ranges = min(10_000, max(1, ceil(ids.count() / per_range)))
+    n_ranges = min(max(10_000, 8 * parts(docs)), max(1, ceil(ids.count() / per_range)))  # several for each shuffle partition
     cuts = ids.agg(F.percentile_approx("doc_id", [k / n_ranges for k in range(1, n_ranges)] or [0.5], 100_000)).first()[0] or []
     ranged = _ranges(rows, cuts)
     tops = {r["range"]: r.top for r in _ranges(ids, cuts).groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # n_ranges rows at most
@@ -121,7 +138,7 @@ def with_next(docs: DataFrame, ident: str, text: str, found: Callable, schema: s
     rows = rows.repartition(parts(docs), "range").sortWithinPartitions("range", "copy", F.desc_nulls_last("doc_id"), "t")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, last = None, (None, None)
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
@@ -130,7 +147,9 @@ def with_next(docs: DataFrame, ident: str, text: str, found: Callable, schema: s
                     held = None
                 if copy and not held:
                     continue  # a further row of the same top id
-                s = sketch(_points(t))
+                if t != last[0]:
+                    last = (t, sketch(_points(t)))
+                s = last[1]
                 if held:
                     out.append(found(*held[1:], t, s))
                 held = None if copy else (at, ident, t, s)
