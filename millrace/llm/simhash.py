@@ -31,6 +31,14 @@ SEGMENTS = 4
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), 16384):
+        counts += np.unpackbits(h[k : k + 16384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Of UTF-8 text: bits set in over half the XXH64 (seed 42) of its shingles, unsigned."""
     from xxhash import xxh64_intdigest
@@ -44,10 +52,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     k = min(shingle, len(found))
     starts, ends = starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist()
     h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(h), 16384):
-        counts += np.unpackbits(h[k : k + 16384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:

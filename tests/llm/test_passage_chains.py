@@ -3,10 +3,11 @@ import random
 import numpy as np
 
 from millrace.llm import passage_chains as p
+from millrace.llm.simhash import LOWER
 
 
 def split(text):
-    return (text or "").encode().translate(p.LOWER).split()
+    return (text or "").encode().translate(LOWER).split()
 
 
 def test_exact_runs_are_found_and_passages_hold(docs, texts):
