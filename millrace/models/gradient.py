@@ -5,12 +5,15 @@ optimizer step moves all vectors. Everything is DataFrame expressions; no factor
 or broadcast. Samples come from hashes of (row, epoch, try), so recomputed parts agree.
 """
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.vectors import dot, sigmoid_minus, squared_distance
+from millrace.functions.vectors import dot, sigmoid_minus, softplus_minus, squared_distance
 from millrace.models.base import Model, initial
 from millrace.operators import words
+from millrace.operators.matrix import running
 
 
 def _uniform(*parts) -> Column:
@@ -25,6 +28,9 @@ def _minus(a, b) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+MASS = 1 << 40
+
+
 class Gradient(Model):
     def _start(self, tables: dict[str, DataFrame], absolute: bool, scale: float) -> None:
         """Factor tables with the state of the optimizer: m and s (moments)."""
@@ -32,45 +38,106 @@ class Gradient(Model):
         for k, (name, ids) in enumerate(tables.items()):
             zero = F.array_repeat(F.lit(0.0), d)
             table = initial(ids, d, scale, self.opt["random_seed"] + k, absolute)
-            self.factors[name] = self.keep(table.withColumns({"bias": F.lit(0.0), "m": zero, "s": zero}))
+            self.factors[name] = self.keep(table.withColumns({"bias": F.lit(0.0), "m": zero, "s": zero}), name)
         self.epoch = 0
 
-    def _drawn(self, rows: DataFrame, tries: int, salt: int = 0) -> DataFrame:
-        """``rows`` (row, u, i) with t and a drawn j by the items' running weights; users' own items are left out.
+    def _place(self, items: DataFrame) -> None:
+        """Lays items (id, w: whole numbers above 0) on a line, each as long as its weight, and cuts the line in a cell for each item.
 
-        Draws find their item by an equi-join on 4096 equal cells of the unit interval.
+        A cell holds few items and an item few cells, on the average of draws as of cells, whatever the weights are.
         """
-        cells = 4096
-        x = _uniform("row", "t", F.lit(self.epoch), F.lit(self.opt["random_seed"] + salt))
-        drawn = rows.select("row", "u", "i", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t")).withColumn("x", x)
-        drawn = drawn.withColumn("cell", F.floor(F.col("x") * cells))
-        return drawn.join(self.cells, "cell").where("x >= low AND x < high").select("row", "u", "i", "t", "j")
+        line = running(items, "id", "w", "high").select(F.col("id").alias("j"), "w", (F.col("high") - F.col("w")).alias("low"), "high")
+        self.line = self.keep(line)
+        facts = self.line.agg(F.coalesce(F.max("high"), F.lit(0)).alias("mass"), F.count("*").alias("n")).first()
+        self.mass, self.n_items = facts.mass, facts.n
+        self.cell = max(1, -(-self.mass // max(1, self.n_items)))
+        self.cells = self.keep(self.line.select("j", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / self.cell), F.floor((F.col("high") - 1) / self.cell))).alias("cell")))
+
+    def _at(self, draws: DataFrame) -> DataFrame:
+        """``draws`` with place y on the line, and the item j there."""
+        found = draws.withColumn("cell", F.floor(F.col("y") / self.cell)).join(self.cells, "cell").where("y >= low AND y < high")
+        return found.drop("cell", "low", "high", "y")
+
+    def _random(self, bound, salt: int = 0) -> Column:
+        """A whole number under ``bound`` by row, t, epoch and seed."""
+        return F.pmod(F.xxhash64("row", "t", F.lit(self.epoch), F.lit(self.opt["random_seed"] + salt)), bound)
+
+    def _unseen(self, rows: DataFrame, first: int, n: int) -> DataFrame:
+        """row, u, i, t, j: draws ``first`` to ``first + n`` by weight for each row (row, u, i, free), each an item that the user has not.
+
+        A number below ``free``, the weight that the user's own items leave, becomes a place on the line by adding the weights of
+        own items up to there: a running sum over own items and draws. Users that have every item draw nothing.
+        """
+        drawn = rows.where("free > 0").select("row", "u", "i", "free", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))).alias("t"))
+        drawn = drawn.select("u", self._random(F.col("free")).alias("at"), F.lit(1).alias("kind"), "row", "i", "t", F.lit(0).cast("long").alias("w"))
+        own = self.own.select("u", "at", F.lit(0).alias("kind"), *[F.lit(None).cast(drawn.schema[c].dataType).alias(c) for c in ("row", "i", "t")], "w")
+        before = F.sum("w").over(Window.partitionBy("u").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        both = drawn.unionByName(own).withColumn("y", F.col("at") + before).where("kind = 1")
+        return self._at(both.select("row", "u", "i", "t", "y"))
+
+    def _interactions(self, rows: DataFrame, items: DataFrame | None, power: float) -> None:
+        """Distinct rows (row, u, i, free), the items' line by popularity ** power and users' own items on it."""
+        rows = rows.select(F.col("u").cast("long"), F.col("i").cast("long")).distinct().withColumn("row", F.xxhash64("u", "i"))
+        rows = self.keep(rows)
+        ids = rows.select(F.col("i").alias("id")).distinct() if items is None else items.select(F.col("id").cast("long")).distinct()
+        self.item_ids = self.keep(ids)
+        if power == 0:
+            self._place(self.item_ids.withColumn("w", F.lit(1).cast("long")))
+        else:
+            n = rows.groupBy(F.col("i").alias("id")).agg(F.pow(F.count("*"), F.lit(power)).alias("p"))
+            share = F.col("p") / n.agg(F.sum("p")).first()[0]
+            self._place(self.item_ids.join(n, "id").select("id", F.greatest(F.lit(1), F.round(share * MASS)).cast("long").alias("w")))
+        own = rows.select("u", F.col("i").alias("j")).join(self.line, "j")
+        earlier = F.sum("w").over(Window.partitionBy("u").orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+        self.own = self.keep(own.select("u", (F.col("low") - F.coalesce(earlier, F.lit(0))).alias("at"), "w"))
+        held = self.own.groupBy("u").agg(F.sum("w").alias("held"), F.count("*").alias("width"))
+        self.rows = self.keep(rows.join(held, "u", "left").select("row", "u", "i", (self.mass - F.coalesce("held", F.lit(0))).alias("free"), F.coalesce("width", F.lit(0)).alias("width")))
+        self.n_rows = self.rows.count()
 
-    def _cells(self, weights: DataFrame) -> DataFrame:
-        """cell, j, low, high of items by weight (j, low, high in 0 to 1)."""
-        cells = 4096
-        return self.keep(weights.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1))))))
+    def _joined(self, triples: DataFrame) -> DataFrame:
+        """``triples`` (u, i, j) with vectors p, q, n and the items' biases bq, bn."""
+        p = self.factors["P"].select(F.col("id").alias("u"), F.col("vec").alias("p"))
+        q = self.factors["Q"].select(F.col("id").alias("i"), F.col("vec").alias("q"), F.col("bias").alias("bq"))
+        n = self.factors["Q"].select(F.col("id").alias("j"), F.col("vec").alias("n"), F.col("bias").alias("bn"))
+        return triples.join(p, "u").join(q, "i").join(n, "j")
+
+    def _summed(self, samples: DataFrame, parts: list, loss) -> tuple[DataFrame, float]:
+        """Gradients (name, id, g, gb, n, r) summed over samples, and the sum of ``loss``.
+
+        ``parts``: name, id, g, gb and r, the weight of regularisation, for what a sample adds to. Vectors of samples are not
+        stored: sums are made where samples are joined and only these are shuffled.
+        """
+        d, kind = self.opt["d"], "struct<name:string,id:long,g:array<double>,gb:double,r:double,loss:double>"
+        none = F.lit(None)
+        each = [F.struct(F.lit(name).alias("name"), ident.alias("id"), g.alias("g"), gb.alias("gb"), F.lit(float(r)).alias("r"), none.alias("loss")).cast(kind) for name, ident, g, gb, r in parts]
+        each.append(F.struct(F.lit("loss").alias("name"), F.lit(0).cast("long").alias("id"), none.alias("g"), F.lit(0.0).alias("gb"), F.lit(0.0).alias("r"), loss.alias("loss")).cast(kind))
+        x = samples.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+        sums = x.groupBy("name", "id").agg(F.array(*[F.sum(F.col("g")[k]) for k in range(d)]).alias("g"), F.sum("gb").alias("gb"), F.count("*").alias("n"), F.sum("r").alias("r"), F.sum("loss").alias("loss"))
+        sums = self.keep(sums, "gradients")
+        total = sums.where("name = 'loss'").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
+        return sums, float(total.loss / total.n) if total.n else 0.0
 
     def _apply(self, name: str, gradients: DataFrame, rate: float, reg: float, unit_ball: bool = False) -> None:
-        """One step from summed gradients (id, g, gb, n) in direction of ascent."""
-        opt, d = self.opt, self.opt["d"]
-        sums = gradients.groupBy("id").agg(F.array(*[F.sum(F.col("g")[k]) for k in range(d)]).alias("g"), F.sum("gb").alias("gb"), F.sum("n").alias("n"))
-        t = self.factors[name].join(sums, "id", "left")
+        """One step from summed gradients (id, g, gb, n, r) in direction of ascent; ``reg`` adds to what samples regularise."""
+        opt = self.opt
+        t = self.factors[name].join(gradients.where(F.col("name") == name).drop("name", "loss"), "id", "left")
         moved = F.col("g").isNotNull()
         kind = opt["optimizer"]
-        g = F.zip_with("g", "vec", lambda a, v: a - 2 * reg * v)
-        if kind == "sgd" or opt.get("per_coordinate_normalize"):
-            g = F.zip_with("g", "vec", lambda a, v: a / F.sqrt("n") - reg * v) if kind == "sgd" else _scaled(g, 1 / F.col("n"))
+        g = F.zip_with("g", "vec", lambda a, v: a - (2 * reg + F.col("r")) * v)
+        if kind == "sgd":
+            g = F.zip_with("g", "vec", lambda a, v: a / F.sqrt("n") - (reg + F.col("r") / F.col("n")) * v)
+        elif opt.get("per_coordinate_normalize"):
+            g = _scaled(g, 1 / F.col("n"))
         m, s = F.col("m"), F.col("s")
         if kind == "adam":
             b1, b2, at = opt["beta1"], opt["beta2"], self.epoch + 1
             m = F.zip_with("m", g, lambda a, x: b1 * a + (1 - b1) * x)
             s = F.zip_with("s", g, lambda a, x: b2 * a + (1 - b2) * x * x)
             t = t.withColumns({"_m": m, "_s": s})
-            step = F.zip_with("_m", "_s", lambda a, b: (a / (1 - b1**at)) / (F.sqrt(b / (1 - b2**at)) + 1e-8))
+            step = F.zip_with("_m", "_s", lambda a, b: (a / (1 - b1**at)) / (F.sqrt(b / (1 - b2**at)) + opt["eps"]))
         elif kind == "adagrad":
             t = t.withColumns({"_g": g, "_m": m, "_s": F.zip_with("s", g, lambda a, x: a + x * x)})
-            step = F.zip_with("_g", "_s", lambda x, b: x / (F.sqrt(b) + 1e-8))
+            step = F.zip_with("_g", "_s", lambda x, b: x / (F.sqrt(b) + opt["eps"]))
         else:
             t = t.withColumns({"_m": m, "_s": s})
             step = g
@@ -79,103 +146,114 @@ class Gradient(Model):
         vec = F.col("_new")
         if unit_ball:
             vec = _scaled("_new", 1 / F.greatest(F.lit(1.0), F.sqrt(dot("_new", "_new"))))
-        bias = F.col("bias") + F.when(moved, rate * (F.col("gb") / F.sqrt("n") - reg * F.col("bias"))).otherwise(0.0) if opt.get("use_bias") else F.col("bias")
+        bias = F.col("bias") + F.when(moved, rate * (F.col("gb") / F.sqrt("n") - opt["reg_b"] * F.col("bias"))).otherwise(0.0) if opt.get("use_bias") else F.col("bias")
         pick = lambda c: F.when(moved, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-        self.factors[name] = self.keep(t.select("id", vec.alias("vec"), bias.alias("bias"), pick("m"), pick("s")))
+        self.factors[name] = self.keep(t.select("id", vec.alias("vec"), bias.alias("bias"), pick("m"), pick("s")), name)
 
     def _rate(self) -> float:
         """Falls linearly to ``min_lr`` for sgd."""
         if self.opt["optimizer"] != "sgd":
             return self.opt["lr"]
-        return max(self.opt.get("min_lr", 0.0), self.opt["lr"] * (1 - self.epoch / max(1, self.opt["num_iters"])))
-
-    def _joined(self, triples: DataFrame) -> DataFrame:
-        """u, i, j with p, q, n and the items' biases bq, bn."""
-        p = self.factors["P"].select(F.col("id").alias("u"), F.col("vec").alias("p"))
-        q = self.factors["Q"].select(F.col("id").alias("i"), F.col("vec").alias("q"), F.col("bias").alias("bq"))
-        n = self.factors["Q"].select(F.col("id").alias("j"), F.col("vec").alias("n"), F.col("bias").alias("bn"))
-        return triples.join(p, "u").join(q, "i").join(n, "j")
-
-    def _interactions(self, rows: DataFrame, items: DataFrame | None) -> None:
-        self.rows = self.keep(rows.select(F.col("u").cast("long"), F.col("i").cast("long")).distinct().withColumn("row", F.xxhash64("u", "i")))
-        ids = self.rows.select(F.col("i").alias("id")).distinct() if items is None else items.select(F.col("id").cast("long"))
-        self.item_ids = self.keep(ids)
+        return max(self.opt["min_lr"], self.opt["lr"] * (1 - self.epoch / max(1, self.opt["num_iters"])))
 
-    def _weights(self, power: float) -> DataFrame:
-        """j, low, high by popularity ** power; power 0 takes all items alike."""
-        from millrace.operators.matrix import running
-
-        n = self.rows.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("c"))
-        w = self.item_ids.join(n, "id", "left").select("id", (F.lit(1.0) if power == 0 else F.pow(F.coalesce("c", F.lit(0)), F.lit(power))).alias("w")).where("w > 0")
-        total = w.agg(F.sum("w")).first()[0]
-        return running(w, "id", "w", "cum").select(F.col("id").alias("j"), ((F.col("cum") - F.col("w")) / total).alias("low"), (F.col("cum") / total).alias("high"))
+    def loss_samples(self, n: int | None = None) -> DataFrame:
+        """u, i, j: a positive and an unseen item of the root of the number of users (or ``n``), for watching the loss."""
+        one = self.rows.groupBy("u").agg(F.min_by(F.struct("row", "u", "i", "free"), F.xxhash64("row", F.lit(self.opt["random_seed"]))).alias("x")).select("x.*")
+        n = int(one.count() ** 0.5) if n is None else n
+        some = one.orderBy(F.xxhash64("u", F.lit(self.opt["random_seed"] + 1)), "u").limit(n)  # as many users as are asked for
+        return self._unseen(some, 0, 1).select("u", "i", "j")
 
 
 class BPRMF(Gradient):
-    DEFAULTS = {"num_iters": 100, "lr": 0.05, "min_lr": 0.0001, "reg_u": 0.025, "reg_i": 0.025, "use_bias": True, "optimizer": "sgd", "num_negative_samples": 1, "sampling_power": 0.0, "verify_neg": True, "beta1": 0.9, "beta2": 0.999, "per_coordinate_normalize": False}
+    #: Options with their defaults.
+    DEFAULTS = {
+        "num_iters": 100, "lr": 0.002, "min_lr": 0.0001, "update_i": True, "update_j": True, "reg_u": 0.025, "reg_i": 0.025, "reg_j": 0.025, "reg_b": 0.025, "use_bias": True, "optimizer": "sgd",
+        "num_negative_samples": 1, "sampling_power": 0.0, "verify_neg": True, "beta1": 0.9, "beta2": 0.999, "per_coordinate_normalize": False,
+    }
 
     def initialize(self, rows: DataFrame, items: DataFrame | None = None) -> "BPRMF":
-        self._interactions(rows, items)
+        self._interactions(rows, items, self.opt["sampling_power"])
         self._start({"P": self.rows.select(F.col("u").alias("id")).distinct(), "Q": self.item_ids}, True, 1 / self.opt["d"])
-        self.cells = self._cells(self._weights(self.opt["sampling_power"]))
         return self
 
-    def step(self) -> float:
-        """One pass over all positives; mean log(1 + e**-x) before the step."""
+    def negatives(self) -> DataFrame:
+        """u, i, j of an epoch: ``num_negative_samples`` for each positive."""
         n = self.opt["num_negative_samples"]
-        drawn = self._drawn(self.rows, n * (3 if self.opt["verify_neg"] else 1))
         if self.opt["verify_neg"]:
-            drawn = drawn.join(self.rows.select("u", F.col("i").alias("j")), ["u", "j"], "left_anti")
-            first = F.slice(F.array_sort(F.collect_list(F.struct("t", "j"))), 1, n)  # few tries for each positive
-            drawn = drawn.groupBy("row", "u", "i").agg(first.alias("js")).select("u", "i", F.explode("js").alias("x")).select("u", "i", "x.j")
+            return self._unseen(self.rows, 0, n).select("u", "i", "j")
+        drawn = self.rows.select("row", "u", "i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"))
+        return self._at(drawn.withColumn("y", self._random(F.lit(self.mass)))).select("u", "i", "j")
+
+    def step(self) -> float:
+        """One pass over all positives; mean log(1 + e**-x) before the step."""
+        opt, sgd = self.opt, self.opt["optimizer"] == "sgd"
         x = dot("p", _minus("q", "n")) + F.col("bq") - F.col("bn")
-        at = self._joined(drawn.select("u", "i", "j")).withColumn("x", x).withColumn("w", sigmoid_minus("x"))
-        at = self.keep(at)
-        loss = at.agg(F.avg(F.log1p(F.exp(-F.col("x"))))).first()[0] or 0.0
-        w, one, zero = F.col("w"), F.lit(1).alias("n"), F.lit(0.0).alias("gb")
-        users = at.select(F.col("u").alias("id"), _scaled(_minus("q", "n"), w).alias("g"), zero, one)
-        items = at.select(F.col("i").alias("id"), _scaled("p", w).alias("g"), w.alias("gb"), one).unionByName(at.select(F.col("j").alias("id"), _scaled("p", -w).alias("g"), (-w).alias("gb"), one))
+        at = self._joined(self.negatives()).withColumn("x", x).withColumn("w", sigmoid_minus("x"))
+        w = F.col("w")
+        parts = [("P", F.col("u"), _scaled(_minus("q", "n"), w), F.lit(0.0), 0)]
+        # for sgd each sample regularises what it moves, else each step does
+        if opt["update_i"]:
+            parts.append(("Q", F.col("i"), _scaled("p", w), w, opt["reg_i"] if sgd else 0))
+        if opt["update_j"]:
+            parts.append(("Q", F.col("j"), _scaled("p", -w), -w, opt["reg_j"] if sgd else 0))
+        sums, loss = self._summed(at, parts, softplus_minus("x"))
         rate = self._rate()
-        self._apply("P", users, rate, self.opt["reg_u"])
-        self._apply("Q", items, rate, self.opt["reg_i"])
+        self._apply("P", sums, rate, opt["reg_u"])
+        self._apply("Q", sums, rate, 0.0 if sgd else opt["reg_i"])
         self.epoch += 1
-        return float(loss)
+        return loss
 
 
 class WARP(Gradient):
-    DEFAULTS = {"d": 64, "num_iters": 40, "lr": 0.05, "optimizer": "adagrad", "threshold": 1.0, "max_trials": 500, "score_func": "dot", "reg": 0.0, "beta1": 0.9, "beta2": 0.999, "trials_at_once": 16}
+    #: Options with their defaults; ``trials_at_once`` is the size of the first round of trials.
+    DEFAULTS = {
+        "d": 64, "num_iters": 40, "lr": 0.05, "min_lr": 0.0001, "optimizer": "adagrad", "threshold": 1.0, "max_trials": 500, "score_func": "dot", "update_i": True, "update_j": True,
+        "reg_u": 0.0, "reg_i": 0.0, "reg_j": 0.0, "beta1": 0.9, "beta2": 0.999, "per_coordinate_normalize": False, "trials_at_once": 16,
+    }
 
     def initialize(self, rows: DataFrame, items: DataFrame | None = None) -> "WARP":
         if self.opt["optimizer"] not in ("adagrad", "adam") or self.opt["score_func"].lower() not in ("dot", "l2"):
             raise ValueError("WARP takes adagrad or adam, dot or l2")
-        self._interactions(rows, items)
+        self._interactions(rows, items, 0.0)
         self._start({"P": self.rows.select(F.col("u").alias("id")).distinct(), "Q": self.item_ids}, False, 1 / self.opt["d"])
-        self.cells = self._cells(self._weights(0.0))
-        self.widths = self.keep(self.rows.groupBy("u").agg(F.count("*").alias("width")))
-        self.n_items = self.item_ids.count()
         return self
 
-    def step(self) -> float:
-        """The first violating negative of each positive among its trials; share of positives with one."""
-        l2 = self.opt["score_func"].lower() == "l2"
-        trials = min(self.opt["max_trials"], self.opt["trials_at_once"])
-        drawn = self._drawn(self.rows, trials).join(self.rows.select("u", F.col("i").alias("j")), ["u", "j"], "left_anti")
-        at = self._joined(drawn)
+    def violations(self) -> DataFrame:
+        """row, u, i, j, t, width: for each positive the first unseen item within ``threshold`` of it, if ``max_trials`` draws find one.
+
+        Rounds of draws, each twice as large as the one before, go on for the rows that are still open.
+        """
+        l2, done, n, open_, found = self.opt["score_func"].lower() == "l2", 0, self.opt["trials_at_once"], self.rows, []
         margin = squared_distance("p", "n") - squared_distance("p", "q") if l2 else dot("p", _minus("q", "n"))
-        at = at.where(margin < self.opt["threshold"]).groupBy("row", "u", "i").agg(F.min_by(F.struct("j", "p", "q", "n", "t"), "t").alias("f")).select("u", "i", "f.*")
+        while done < self.opt["max_trials"]:
+            n = min(n, self.opt["max_trials"] - done)
+            hits = self._joined(self._unseen(open_, done, n)).where(margin < self.opt["threshold"]).groupBy("row").agg(F.min_by(F.struct("j", "t"), "t").alias("f"))
+            hits = self.keep(open_.join(hits, "row").select("row", "u", "i", "f.j", "f.t", "width"), "violations", 16)
+            found.append(hits)
+            done, n = done + n, 2 * n
+            if done < self.opt["max_trials"]:
+                open_ = self.keep(open_.join(hits.select("row"), "row", "left_anti"), "open")
+                if not open_.limit(1).count():
+                    break
+        return reduce(DataFrame.unionByName, found)
+
+    def step(self) -> float:
+        """One pass over all positives; the share of those with a violation."""
+        opt, l2 = self.opt, self.opt["score_func"].lower() == "l2"
         rank = F.log(F.greatest(F.lit(1), F.floor((self.n_items - F.col("width") - 1) / (F.col("t") + 1))))
-        at = self.keep(at.join(self.widths, "u").withColumn("phi", rank.cast("double")))
-        loss = at.count() / max(1, self.rows.count())
-        phi, one, zero = F.col("phi"), F.lit(1).alias("n"), F.lit(0.0).alias("gb")
-        to_user = _scaled(_minus("q", "n"), phi * (2 if l2 else 1))
-        to_item = _scaled(_minus("p", "q") if l2 else F.col("p"), phi)
-        to_other = _scaled(_minus("p", "n") if l2 else F.col("p"), -phi)
-        users = at.select(F.col("u").alias("id"), to_user.alias("g"), zero, one)
-        items = at.select(F.col("i").alias("id"), to_item.alias("g"), zero, one).unionByName(at.select(F.col("j").alias("id"), to_other.alias("g"), zero, one))
-        self._apply("P", users, self.opt["lr"], self.opt["reg"], True)
-        self._apply("Q", items, self.opt["lr"], self.opt["reg"], True)
+        at = self._joined(self.violations()).withColumn("phi", rank.cast("double"))
+        phi, zero = F.col("phi"), F.lit(0.0)
+        parts = [("P", F.col("u"), _scaled(_minus("q", "n"), phi * (2 if l2 else 1)), zero, opt["reg_u"])]
+        if opt["update_i"]:
+            parts.append(("Q", F.col("i"), _scaled(_minus("p", "q") if l2 else F.col("p"), phi), zero, opt["reg_i"]))
+        if opt["update_j"]:
+            parts.append(("Q", F.col("j"), _scaled(_minus("p", "n") if l2 else F.col("p"), -phi), zero, opt["reg_j"]))
+        sums, _ = self._summed(at, parts, F.lit(1.0))
+        self._apply("P", sums, opt["lr"], 0.0, True)
+        self._apply("Q", sums, opt["lr"], 0.0, True)
         self.epoch += 1
-        return float(loss)
+        violated = sums.where("name = 'loss'").agg(F.sum("n")).first()[0] or 0
+        return violated / max(1, self.n_rows)
 
     def most_similar(self, items, k=10, group="Q", metric=None, pool=None):
         return super().most_similar(items, k, group, metric or ("l2" if self.opt["score_func"].lower() == "l2" else "cosine"), pool)
@@ -192,9 +270,9 @@ class W2V(Gradient):
         at = stream.join(self.ids["vocab"], "token").select("u", "pos", "id", "keep")
         self.stream = self.keep(at)
         self._start({"Q": self.ids["vocab"].select("id"), "L1": self.ids["vocab"].select("id")}, True, 1 / self.opt["d"] ** 2)
-        self.factors["L1"] = self.keep(self.factors["L1"].withColumn("vec", F.array_repeat(F.lit(0.0), self.opt["d"])))
+        self.factors["L1"] = self.keep(self.factors["L1"].withColumn("vec", F.array_repeat(F.lit(0.0), self.opt["d"])), "L1")
         noise = words.noise(vocab).join(self.ids["vocab"].select("token", "id"), "token")
-        self.cells = self._cells(noise.select(F.col("id").alias("j"), (F.col("cum") - F.col("p")).alias("low"), F.col("cum").alias("high")))
+        self._place(noise.select("id", F.greatest(F.lit(1), F.round(F.col("p") * MASS)).cast("long").alias("w")))
         return self
 
     def index(self, tokens: DataFrame) -> DataFrame:
@@ -202,8 +280,6 @@ class W2V(Gradient):
         return tokens.join(self.ids["vocab"].select("token", "id"), "token", "left")
 
     def step(self) -> float:
-        from pyspark.sql import Window
-
         w, seed = self.opt["window"], self.opt["random_seed"]
         kept = self.stream.where(_uniform("u", "pos", F.lit(self.epoch), F.lit(seed)) < F.col("keep"))
         order = Window.partitionBy("u").orderBy("pos")
@@ -211,21 +287,20 @@ class W2V(Gradient):
         near = F.array(*[F.struct(F.lit(abs(k)).alias("far"), F.lead("id", k).over(order).alias("c")) for k in range(-w, w + 1) if k])
         pairs = kept.select("u", "pos", F.col("id").alias("i"), reach.alias("reach"), near.alias("near")).select("u", "pos", "i", "reach", F.explode("near").alias("x"))
         pairs = pairs.where("x.c IS NOT NULL AND x.far <= reach").select(F.col("x.c").alias("u"), "i", F.xxhash64("u", "pos", "x.far", "x.c").alias("row"))
-        good = pairs.select("u", F.col("i").alias("j"), F.lit(1.0).alias("label"))
-        bad = self._drawn(pairs, self.opt["num_negative_samples"], 7).where("j <> i").select("u", "j", F.lit(0.0).alias("label"))
+        pairs = pairs.select("row", "u", "i", F.explode(F.sequence(F.lit(0), F.lit(self.opt["num_negative_samples"]))).alias("t"))
+        good = pairs.where("t = 0").select("u", F.col("i").alias("j"), F.lit(1.0).alias("label"))
+        bad = self._at(pairs.where("t > 0").withColumn("y", self._random(F.lit(self.mass), 7))).where("j <> i").select("u", "j", F.lit(0.0).alias("label"))
         a = self.factors["Q"].select(F.col("id").alias("u"), F.col("vec").alias("a"))
         b = self.factors["L1"].select(F.col("id").alias("j"), F.col("vec").alias("b"))
         at = good.unionByName(bad).join(a, "u").join(b, "j").withColumn("x", dot("a", "b"))
-        at = self.keep(at.withColumn("w", F.col("label") - (1 - sigmoid_minus("x"))))
-        loss = at.agg(F.avg(F.log1p(F.exp(-(2 * F.col("label") - 1) * F.col("x"))))).first()[0] or 0.0
-        one, zero = F.lit(1).alias("n"), F.lit(0.0).alias("gb")
+        at = at.withColumn("w", F.col("label") - (1 - sigmoid_minus("x")))
+        parts = [("Q", F.col("u"), _scaled("b", F.col("w")), F.lit(0.0), 0), ("L1", F.col("j"), _scaled("a", F.col("w")), F.lit(0.0), 0)]
+        sums, loss = self._summed(at, parts, F.log1p(F.exp(-(2 * F.col("label") - 1) * F.col("x"))))
         rate = self._rate()
-        first = at.select(F.col("u").alias("id"), _scaled("b", F.col("w")).alias("g"), zero, one)
-        second = at.select(F.col("j").alias("id"), _scaled("a", F.col("w")).alias("g"), zero, one)
-        self._apply("Q", first, rate, 0.0)
-        self._apply("L1", second, rate, 0.0)
+        self._apply("Q", sums, rate, 0.0)
+        self._apply("L1", sums, rate, 0.0)
         self.epoch += 1
-        return float(loss)
+        return loss
 
     def topk_recommendation(self, users, k=10, pool=None, seen=None):
         raise NotImplementedError("item embeddings have no users")

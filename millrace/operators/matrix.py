@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.work import written
+
 
 def adjacency(matrix: DataFrame, axis: str = "u") -> DataFrame:
     """One row for each row (axis u) or column (axis i), its entries sorted."""
@@ -11,23 +13,20 @@ def adjacency(matrix: DataFrame, axis: str = "u") -> DataFrame:
 
 
 def indptr(matrix: DataFrame, axis: str = "u") -> DataFrame:
-    """Inclusive running count of entries. Counts are one row for each key; their running sum has two levels.
-
-    Keys are cut into blocks of 4096; the sums of blocks are few, those within a block are dealt out.
-    """
+    """Inclusive running count of entries. Counts are one row for each key; their running sum has two levels."""
     return running(matrix.groupBy(axis).agg(F.count("*").alias("n")), axis, "n", "indptr")
 
 
-def running(rows: DataFrame, key: str, value: str, name: str, block=None) -> DataFrame:
-    """Inclusive prefix sum in order of ``key``, without one window over all rows.
+def running(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Inclusive prefix sum in order of ``key`` (distinct, of any type that has an order), without one window over all rows.
 
-    ``block`` maps the key's column to blocks in the same order; by default an integer's block of 4096.
+    Rows are sorted into ranges, which Spark cuts evenly; the sums of ranges are as few as shuffle partitions.
     """
-    rows = rows.withColumn("_block", block(F.col(key)) if block else F.floor(F.col(key) / 4096))
-    blocks = rows.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = blocks.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.sum(value).over(Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(before, "_block").withColumn(name, F.col("_before") + within).drop("_block", "_before")
+    rows = written(rows.orderBy(key).withColumn("_range", F.spark_partition_id()), "ranges")[0]
+    ranges = rows.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = ranges.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + within).drop("_range", "_before")  # a row for each range
 
 
 def header(matrix: DataFrame) -> DataFrame:

@@ -17,13 +17,35 @@ def _block_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return q @ x.T
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot", skip_self: bool = False, pool: DataFrame | None = None, seen: DataFrame | None = None, rows: int = 4096) -> DataFrame:
+def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs of rows, summed from the first dimension to the last: equal vectors have equal scores wherever they stand."""
+
+    def dot(a, b):
+        total = np.zeros(len(a))
+        for k in range(a.shape[1]):
+            total = total + a[:, k] * b[:, k]
+        return total
+
+    if metric == "l2":
+        return -dot(q - x, q - x)
+    return dot(q, x) / (np.sqrt(dot(q, q)) * np.sqrt(dot(x, x)) + 1e-8) if metric == "cosine" else dot(q, x)
+
+
+def _margin(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """More than a block's scores can differ from the exact ones, for each query."""
+    a, b = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1).max(initial=0.0))
+    size = {"dot": a * b, "cosine": a * b / (a * np.sqrt((x * x).sum(1).min(initial=np.inf)) + 1e-8) if len(x) else a, "l2": (a + b) ** 2}[metric]
+    return 1e-13 * q.shape[1] * size
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot", skip_self: bool = False, pool: DataFrame | None = None, seen: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """q, rank (from 1), id, score: the k best items of each query, ties to the smaller id.
 
     queries: id, vec, optional bias; items: the same; pool: id; seen: q, id pairs left out.
-    Both sides are cut into blocks of about ``rows``; a task multiplies two blocks and keeps k for
-    each query, so no side is broadcast and shuffles carry blocks, then k rows for each block.
-    l2 ranks by distance and returns it.
+    Both sides are cut into blocks of ``rows`` (by default so that 64 MB of vectors are in a block and
+    256 MB of scores between two); a task multiplies two blocks, scores once more in a fixed order what could be
+    among the k best of a query, and keeps these, so no side is broadcast and shuffles carry blocks, then k rows for each
+    block. Scores are ranked as they are, not rounded. l2 ranks by squared distance and returns the distance.
     """
     if metric not in METRICS or k < 1:
         raise ValueError(f"metric {metric!r}, k {k}")
@@ -31,37 +53,50 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot"
         items = items.join(pool.select("id").distinct(), "id", "left_semi")
     q = queries.select(F.col("id").alias("q"), F.col("vec").alias("qvec"), (F.col("bias") if "bias" in queries.columns else F.lit(0.0)).cast("double").alias("qbias"))
     x = items.select("id", "vec", (F.col("bias") if "bias" in items.columns else F.lit(0.0)).cast("double").alias("bias"))
-    if seen is not None:
-        q = q.join(seen.groupBy("q").agg(F.collect_set("id").alias("skip")), "q", "left")
-    else:
-        q = q.withColumn("skip", F.lit(None).cast("array<long>"))
-    n_q, n_x = max(1, -(-queries.count() // rows)), max(1, -(-items.count() // rows))
+    sizes = [t.agg(F.count("*").alias("n"), F.max(F.size(v)).alias("d")).first() for t, v in ((q, "qvec"), (x, "vec"))]
+    if rows is None:
+        d = max(1, *(s.d or 1 for s in sizes))
+        rows = max(256, min((64 << 20) // (8 * d), 5792))  # 5792 ** 2 scores are 256 MB
+    n_q, n_x = (max(1, -(-s.n // rows)) for s in sizes)
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumns({"qb": F.pmod(F.hash("q"), F.lit(n_q))}).withColumn("xb", blocks(n_x))
+    left = q.withColumns({"qb": F.pmod(F.hash("q"), F.lit(n_q))}).withColumn("xb", blocks(n_x)).withColumn("skip", F.lit(None).cast("long"))
+    if seen is not None:  # each goes to its own item's block only
+        seen = seen.select(F.col("q").cast(q.schema["q"].dataType), F.col("id").cast("long"))
+        skip = seen.select("q", F.col("id").alias("skip"), F.pmod(F.hash("q"), F.lit(n_q)).alias("qb"), F.pmod(F.hash(F.col("id").cast(x.schema["id"].dataType)), F.lit(n_x)).alias("xb"))
+        left = left.unionByName(skip.join(q.select("q"), "q", "left_semi"), allowMissingColumns=True)
     x = x.withColumns({"xb": F.pmod(F.hash("id"), F.lit(n_x))}).withColumn("qb", blocks(n_q))
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"q": [], "id": [], "score": []})
-        if not len(left) or not len(right):
+        asked = left[left["qvec"].notna()]
+        if not len(asked) or not len(right):
             return out
         right = right.sort_values("id")
-        ids = right["id"].to_numpy()
-        s = _block_scores(np.stack(left["qvec"]).astype(float), np.stack(right["vec"]).astype(float), metric)
-        s += left["qbias"].to_numpy()[:, None] + right["bias"].to_numpy()[None]
-        for row, (one, skip) in enumerate(zip(left["q"], left["skip"], strict=True)):
-            if skip_self:
-                s[row, ids == one] = -np.inf
-            if skip is not None and len(skip):
-                s[row, np.isin(ids, skip)] = -np.inf
-        # the k best, and any as good as the last of them at 9 digits: the final order rounds alike
-        s = np.round(s, 9)
+        ids, who = right["id"].to_numpy(), asked["q"].to_numpy()
+        a, b = np.stack(asked["qvec"]).astype(float), np.stack(right["vec"]).astype(float)
+        bias = asked["qbias"].to_numpy()[:, None] + right["bias"].to_numpy()[None]
+        s = _block_scores(a, b, metric) + bias
+        if skip_self:
+            s[who[:, None] == ids[None]] = -np.inf
+        skipped = left[left["skip"].notna()]
+        if len(skipped):
+            hers, item = skipped["q"].to_numpy(), skipped["skip"].to_numpy().astype(ids.dtype)
+            order = np.argsort(who, kind="stable")
+            row, col = np.searchsorted(who, hers, sorter=order), np.searchsorted(ids, item)
+            row, col = order[np.minimum(row, len(who) - 1)], np.minimum(col, len(ids) - 1)
+            there = (who[row] == hers) & (ids[col] == item)
+            s[row[there], col[there]] = -np.inf
         m = min(k, len(ids))
-        best = np.argsort(-s, axis=1, kind="stable")[:, :m]
-        score = np.take_along_axis(s, best, 1).ravel()
-        out = pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), m), "id": ids[best].ravel(), "score": score})
-        return out[np.isfinite(out["score"])]
+        last = -np.partition(-s, m - 1, axis=1)[:, m - 1] - _margin(a, b, metric) - 1e-13 * np.abs(bias).max()
+        row, col = np.nonzero((s >= last[:, None]) & np.isfinite(s))
+        score = np.concatenate([np.zeros(0), *(_exact(a[row[n : n + 1_000_000]], b[col[n : n + 1_000_000]], metric) for n in range(0, len(row), 1_000_000))]) + bias[row, col]
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        first = np.searchsorted(row, np.arange(len(who)))
+        kept = np.arange(len(row)) - first[row] < m
+        return pd.DataFrame({"q": who[row[kept]], "id": ids[col[kept]], "score": score[kept]})
 
-    found = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(block, "q long, id long, score double")
+    found = left.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(block, "q long, id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     score = -F.col("score") if metric == "l2" else F.col("score")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

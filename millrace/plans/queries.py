@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vectors
 from millrace.operators import evaluate, matrix, prepro, serving, splits, steps, words
+from millrace.operators.blocks import Blocks
 from millrace.sources import streams
 
 QUERIES: dict = {}
@@ -146,7 +147,7 @@ def split_newest_train(spark, sf_dir):
     return splits.newest(event_stream(spark, sf_dir), 3)[0].select("u", F.col("pos").cast("long").alias("pos"), "i")
 
 
-HASHED = "((u * 1103515 + i * 12345) % 2147483647)"
+HASHED = "((u * 2654435761 + i * 1597334677) % 2147483647)"
 HELD = f"held AS (SELECT * FROM inter ORDER BY {HASHED}, u, i LIMIT (SELECT least(500, (count(*) // 100)) FROM inter))"
 
 
@@ -264,17 +265,17 @@ def sppmi(spark, sf_dir):
     return rounded(words.shifted_pmi(words.cooccurrence(basket_stream(spark, sf_dir))), "v")
 
 
-GRAM = "e AS (SELECT vec_id, x.k - 1 AS k, embedding[x.k]::DOUBLE AS x, vec_id % 7 + 1 AS w FROM embeddings, (SELECT unnest(range(1, 9)) AS k) x)"
+GRAM = "e AS (SELECT vec_id, x.k - 1 AS k, embedding[x.k]::DOUBLE AS x, vec_id % 7 + 1 AS w FROM embeddings, (SELECT unnest(range(1, 65)) AS k) x)"
 
 
 @query(f"WITH {GRAM} SELECT a.k::INT AS a, b.k::INT AS b, round(sum(a.x * b.x), 6) AS g FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
 def gram_matrix(spark, sf_dir):
-    return rounded(steps.gram(vectors_of(spark, sf_dir), 8), "g")
+    return rounded(steps.gram(vectors_of(spark, sf_dir), 64), "g")
 
 
 @query(f"WITH {GRAM} SELECT a.k::INT AS a, b.k::INT AS b, round(sum(a.w * a.x * b.x), 6) AS g FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
 def weighted_gram(spark, sf_dir):
-    return rounded(steps.gram(vectors_of(spark, sf_dir).withColumn("w", F.col("id") % 7 + 1), 8, "w"), "g")
+    return rounded(steps.gram(vectors_of(spark, sf_dir).withColumn("w", F.col("id") % 7 + 1), 64, "w"), "g")
 
 
 @query("WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id AS id, k - 1 AS pos, round(e[k] / sqrt(list_sum(list_transform(e, lambda x: x * x)) + 1e-8), 6) AS x FROM n, (SELECT unnest(range(1, 65)) AS k)")
@@ -285,8 +286,8 @@ def normalize_l2(spark, sf_dir):
 
 def _similar_sql(score: str, rank: str, where: str = "TRUE", show: str = "s") -> str:
     return f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT a.id AS q, b.id, {score} AS s FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 10 = 0 AND {where}),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) {rank}, id) AS rank FROM s) SELECT q, rank, id, round(round({show}, 9), 6) AS score FROM r WHERE rank <= 10"""
+s AS (SELECT a.id AS q, b.id, {score} AS s FROM e a JOIN e b ON a.id <> b.id WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s {rank}, id) AS rank FROM s) SELECT q, rank, id, round({show}, 6) AS score FROM r WHERE rank <= 10"""
 
 
 DOT = "list_dot_product(a.e, b.e)"
@@ -298,52 +299,51 @@ def _top(df: DataFrame) -> DataFrame:
     return rounded(df.withColumn("rank", F.col("rank").cast("long")), "score")
 
 
-def _asked(v: DataFrame) -> DataFrame:
-    """The keys that are asked about: every tenth item, against all items."""
-    return v.select("id").where("id % 10 = 0")
-
-
 @query(_similar_sql(COS, "DESC"))
 def most_similar_cosine(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
-    return _top(serving.most_similar(v, _asked(v)))
+    return _top(serving.most_similar(v))
 
 
 @query(_similar_sql(DOT, "DESC"))
 def most_similar_dot(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
-    return _top(serving.most_similar(v, _asked(v), metric="dot"))
+    return _top(serving.most_similar(v, metric="dot"))
 
 
 @query(_similar_sql(COS, "DESC", "b.id % 3 = 0"))
 def most_similar_pool(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
-    return _top(serving.most_similar(v, _asked(v), pool=v.select("id").where("id % 3 = 0")))
+    return _top(serving.most_similar(v, pool=v.select("id").where("id % 3 = 0")))
 
 
 @query(_similar_sql(L2, "ASC", show="sqrt(greatest(s, 0.0))"))
 def most_similar_l2(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
-    return _top(serving.most_similar(v, _asked(v), metric="l2"))
+    return _top(serving.most_similar(v, metric="l2"))
 
 
 @query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT list_transform(range(1, 65), lambda k: (k % 7 - 3) / 10.0::DOUBLE) AS e),
 s AS (SELECT b.id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-8) AS s FROM q a, e b)
-SELECT 0::BIGINT AS q, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank, id, round(round(s, 9), 6) AS score FROM s QUALIFY rank <= 10""")
+SELECT 0::BIGINT AS q, row_number() OVER (ORDER BY s DESC, id) AS rank, id, round(s, 6) AS score FROM s QUALIFY rank <= 10""")
 def most_similar_vector(spark, sf_dir):
     q = spark.range(1).select("id", F.array(*[F.lit((k % 7 - 3) / 10.0) for k in range(1, 65)]).alias("vec"))
     return _top(serving.top_k(q, vectors_of(spark, sf_dir), metric="cosine"))
 
 
+#: Summed in the order of dimensions, as ranks depend on the last bit where scores are equal.
+PQ_DOT = " + ".join(f"({P.replace('k * 17', f'{k} * 17')}) * ({Q.replace('k * 29', f'{k} * 29')})" for k in range(D))
+
+
 def _recommend_sql(bias: str = "0", where: str = "TRUE") -> str:
-    return f"""WITH {INTER}, {KS}, us AS (SELECT DISTINCT u FROM inter), its AS (SELECT DISTINCT i FROM inter), s AS (SELECT u, i, sum({P} * {Q}) + {bias} AS s FROM us, its, ks WHERE u % 25 = 0 AND {where} GROUP BY u, i),
-r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(s, 9) DESC, i) AS rank FROM s) SELECT u AS q, rank, i AS id, round(round(s, 9), 6) AS score FROM r WHERE rank <= 10"""
+    return f"""WITH {INTER}, us AS (SELECT DISTINCT u FROM inter), its AS (SELECT DISTINCT i FROM inter), s AS (SELECT u, i, {PQ_DOT} + {bias} AS s FROM us, its WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY s DESC, i) AS rank FROM s) SELECT u AS q, rank, i AS id, round(s, 6) AS score FROM r WHERE rank <= 10"""
 
 
 def _recommend(spark, sf_dir, bias: bool = False, pool: bool = False, seen: bool = False) -> DataFrame:
-    """Every 25th user asks, all items answer."""
+    """All users ask, all items answer."""
     rows = interactions(spark, sf_dir)
-    users, items = fixed_factors(rows, "u", "p").where("id % 25 = 0"), fixed_factors(rows, "i", "q")
+    users, items = fixed_factors(rows, "u", "p"), fixed_factors(rows, "i", "q")
     if bias:
         items = items.withColumn("bias", F.col("id") % 11 / 10.0)
     return _top(serving.top_k(users, items, pool=items.where("id % 3 = 0") if pool else None, seen=rows.select(F.col("u").alias("q"), F.col("i").alias("id")) if seen else None))
@@ -387,17 +387,13 @@ per AS (SELECT run.u, sum(hit / log2(rank + 1)) / (SELECT sum(1 / log2(x + 1)) F
 
 
 def _ranked(spark, sf_dir):
+    """Recommendations by popularity: a model of one dimension."""
     train, held = splits.newest(basket_stream(spark, sf_dir), 3)
-    n = train.groupBy("i").agg(F.count("*").alias("n"))
+    items = train.groupBy(F.col("i").alias("id")).agg(F.array(F.count("*").cast("double")).alias("vec"))
+    users = held.select(F.col("u").alias("id")).distinct().withColumn("vec", F.array(F.lit(1.0)))
+    recs = serving.top_k(users, items, seen=splits.seen(train, held).select(F.col("u").alias("q"), F.col("i").alias("id")))
     n_items = table(spark, sf_dir, "lineitem").select(F.countDistinct("l_partkey").alias("n")).first().n
-    # the most popular items that can be left after a user's seen ones: as many as the widest user has, and 10
-    widest = splits.seen(train, held).groupBy("u").count().agg(F.max("count").alias("m")).first().m or 0
-    top = n.orderBy(F.desc("n"), "i").limit(widest + 10).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "i"))).alias("top"))
-    seen = splits.seen(train, held).groupBy("u").agg(F.collect_set("i").alias("seen"))
-    users = held.select("u").distinct().join(seen, "u", "left").crossJoin(F.broadcast(top))  # one row on the right
-    left = F.slice(F.filter(F.transform("top", lambda x: x["i"]), lambda x: ~F.coalesce(F.array_contains("seen", x), F.lit(False))), 1, 10)
-    recs = users.select("u", F.posexplode(left).alias("rank", "i")).withColumn("rank", F.col("rank") + 1)
-    return recs, held, n_items
+    return recs.select(F.col("q").alias("u"), "rank", F.col("id").alias("i")), held, n_items
 
 
 @query(RANKED + " SELECT u, round(ndcg, 6) AS ndcg, round(map, 6) AS map, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc FROM per")
@@ -472,8 +468,8 @@ def plsi_loss(spark, sf_dir):
     return rounded(steps.em_loss(*_with_fixed(spark, sf_dir)), "loss")
 
 
-NEG = f"""{PQ}, drawn AS (SELECT u, i, t, (u * 1103515 + i * 12345 + t * 104729) % 2147483647 % (SELECT count(DISTINCT i) FROM inter) AS j FROM inter, (SELECT unnest(range(4)) AS t)),
-neg AS (SELECT u, i, arg_min(j, t) AS j FROM drawn WHERE NOT EXISTS (SELECT 1 FROM inter x WHERE x.u = drawn.u AND x.i = drawn.j) GROUP BY u, i)"""
+NEG = f"""{PQ}, unseen AS (SELECT u, j, row_number() OVER (PARTITION BY u ORDER BY j) - 1 AS r, count(*) OVER (PARTITION BY u) AS free FROM (SELECT DISTINCT u FROM inter) us, (SELECT unnest(range((SELECT count(DISTINCT i) FROM inter))) AS j)
+WHERE NOT EXISTS (SELECT 1 FROM inter x WHERE x.u = us.u AND x.i = j)), neg AS (SELECT n.u, n.i, j FROM inter n JOIN unseen s ON s.u = n.u AND r = (n.u * 1103515 + n.i * 12345) % 2147483647 % free)"""
 TRIPLES = f"{NEG}, z AS (SELECT n.u, n.i, n.j, k, {P} AS p, {Q} AS q, ((n.j * 13 + k * 29) % 89 + 1) / 89.0::DOUBLE AS m FROM neg n, ks)"
 
 
@@ -502,12 +498,10 @@ def pair_losses(spark, sf_dir):
 def cfr_item_normal_eq(spark, sf_dir):
     """The context part of the items' normal equations with zero biases."""
     pairs = words.shifted_pmi(words.cooccurrence(basket_stream(spark, sf_dir)))
-    x = fixed_factors(pairs, "c", "q").select(F.col("id").alias("c"), F.col("vec").alias("x"))
-    at, x = pairs.join(x, "c"), F.col("x")
-    cells = [(a, b) for a in range(D) for b in range(D)]
-    sums = at.groupBy(F.col("w").alias("i")).agg(*[F.sum(x[a] * x[b]).alias(f"l{a}{b}") for a, b in cells], *[F.sum(F.col("v") * x[a]).alias(f"r{a}") for a in range(D)])
-    out = sums.select("i", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"l{a}{b}").alias("lhs"), F.col(f"r{a}").alias("rhs")) for a, b in cells])).alias("s"))
-    return rounded(out.select("i", "s.*"), "lhs", "rhs")
+    blocks = Blocks(pairs, "w", "c")
+    own = blocks.mine.select("id").distinct().withColumn("vec", F.array_repeat(F.lit(0.0), D))
+    cells = steps.equation_cells(blocks.found(own, fixed_factors(pairs, "c", "q"), D, lambda v, extra, mine, far: (v * 0 + 1, v, v)), D)
+    return rounded(cells.withColumnRenamed("id", "i"), "lhs", "rhs")
 
 
 @query(f"WITH {INTER}, {SPPMI} SELECT round(8.0 * sum(v) + count(DISTINCT u) * count(DISTINCT i) + (SELECT count(*) FROM sp WHERE v > 0), 4)::DOUBLE AS scale FROM inter")
@@ -543,3 +537,50 @@ def longest_ids(spark, sf_dir):
 def stream_leads(spark, sf_dir):
     w = Window.partitionBy("u").orderBy("pos")
     return basket_stream(spark, sf_dir).select("u", F.col("pos").cast("long").alias("pos"), "i", F.lead("i", 1).over(w).alias("next1"), F.lead("i", 2).over(w).alias("next2"))
+
+
+PREPARED = """users AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS idx FROM (SELECT DISTINCT o_custkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey)),
+items AS (SELECT p_partkey AS k, p_name AS name, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part),
+rated AS (SELECT u.idx AS u, i.idx AS i, i.name, l_quantity AS v, o_orderdate AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN users u ON u.k = o_custkey JOIN items i ON i.k = l_partkey)"""
+
+
+def _prepared(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    return streams.ratings(baskets(spark, sf_dir), "o_custkey", "l_partkey", "l_quantity", "o_orderdate", names)
+
+
+@query(f"WITH {PREPARED} SELECT u, row_number() OVER (PARTITION BY u ORDER BY t, i) - 1 AS pos, name AS i FROM rated")
+def prepared_stream(spark, sf_dir):
+    """A table of ratings as a stream of item names by time."""
+    return _prepared(spark, sf_dir)[1].select("u", F.col("pos").cast("long").alias("pos"), "i")
+
+
+@query(f"WITH {PREPARED} SELECT u, i, round(sum(v), 4) AS v, count(*) AS n FROM rated GROUP BY 1, 2")
+def prepared_matrix(spark, sf_dir):
+    """A table of ratings as a matrix, entries of one place added."""
+    return rounded(_prepared(spark, sf_dir)[0].groupBy("u", "i").agg(F.sum(F.col("v").cast("double")).alias("v"), F.count("*").alias("n")), "v", digits=4)
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT w, unnest(range(0, len(w), 50)) AS k FROM w) SELECT array_to_string(w[k + 1 : k + 50], ' ') AS value FROM l""")
+def text_lines(spark, sf_dir):
+    """Running text as a stream: lines of 50 words."""
+    return streams.lines_of(table(spark, sf_dir, "documents").select("text"), "text", 50)
+
+
+HELD_PLACES = f"held AS (SELECT u, pos, i FROM stream ORDER BY (u * 2654435761 + pos * 1597334677) % 2147483647, u, pos LIMIT (SELECT least(500, count(*) // 100) FROM stream))"
+
+
+@query(f"WITH {BASKETS}, {HELD_PLACES} SELECT u, pos, i FROM held")
+def split_places_vali(spark, sf_dir):
+    return splits.sample_stream(basket_stream(spark, sf_dir))[1].select("u", F.col("pos").cast("long").alias("pos"), "i")
+
+
+@query(f"WITH {BASKETS}, {HELD_PLACES} SELECT u, pos, i FROM stream WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.u = stream.u AND h.pos = stream.pos)")
+def split_places_train(spark, sf_dir):
+    return splits.sample_stream(basket_stream(spark, sf_dir))[0].select("u", F.col("pos").cast("long").alias("pos"), "i")
+
+
+@query(f"WITH {BASKETS}, {HELD_PLACES} SELECT u, i, count(*)::DOUBLE AS v FROM held GROUP BY 1, 2")
+def validation_triples(spark, sf_dir):
+    return splits.filled(splits.sample_stream(basket_stream(spark, sf_dir))[1])

@@ -2,9 +2,11 @@
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.work import written
+
 
 def load(spark: SparkSession, options: dict):
     """A source by ``type``: matrix_market or stream."""
@@ -18,6 +20,16 @@ def load(spark: SparkSession, options: dict):
     raise RuntimeError(f"unknown data type {kind!r}")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0) and value of a text: numbers within a task, and what the tasks before hold."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
+    rows = written(rows, "lines")[0].withColumn("task", F.shiftright("at", 33))
+    tasks = rows.groupBy("task").agg(F.count("*").alias("n"))
+    before = tasks.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each task
+    line = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(before), "task").select(line.alias("line"), "value")
+
+
 def _body(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' AND NOT startswith(line, '%')")
 
@@ -62,8 +74,7 @@ def ids(spark: SparkSession, source, n: int | None = None) -> DataFrame:
     if source is None:
         return spark.range(n).select(F.col("id").cast("int").alias("idx"), (F.col("id") + 1).cast("string").alias("key"))
     if isinstance(source, str):
-        rows = spark.read.text(source).rdd.map(lambda r: r.value.strip()).zipWithIndex().map(lambda x: (x[1], x[0]))
-        return rows.toDF("idx int, key string")
+        return numbered_lines(spark, source).select(F.col("line").cast("int").alias("idx"), F.trim("value").alias("key"))
     keys = [str(x) for x in source]
     if n is not None and len(keys) != n:
         raise TypeError(f"{len(keys)} ids for {n} rows")

@@ -12,8 +12,9 @@ def tokens(lines: DataFrame, key: str, text: str) -> DataFrame:
 
 def stream(spark: SparkSession, path: str, users: DataFrame | None = None) -> DataFrame:
     """user, pos, token of a text file; the user is the line's number or its key in ``users`` (idx, key)."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0].value)).toDF("user long, value string")
-    out = tokens(lines, "user", "value")
+    from millrace.sources.matrix import numbered_lines
+
+    out = tokens(numbered_lines(spark, path).withColumnRenamed("line", "user"), "user", "value")
     if users is not None:
         out = out.join(users, F.col("user") == F.col("idx")).select(F.col("key").alias("user"), "pos", "token")
     return out
@@ -30,6 +31,33 @@ def to_matrix(stream: DataFrame) -> DataFrame:
     return stream.groupBy("u", "i").agg(F.count("*").alias("v"))
 
 
+def lines(stream: DataFrame) -> DataFrame:
+    """u and value: the tokens (u, pos, i) of each user in a line."""
+    held = F.array_sort(F.collect_list(F.struct("pos", "i")))
+    return stream.groupBy("u").agg(F.array_join(F.transform(held, lambda x: x["i"].cast("string")), " ").alias("value"))
+
+
+def ratings(table: DataFrame, user: str, item: str, value: str, time: str, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A data set of ratings as matrix (u, i, v), stream (u, pos, i), users and items (idx, key).
+
+    Users and items are numbered from 0 in order of their keys; ``names`` (key, name) gives items other names in the stream and
+    the dictionary. Streams are in order of time, equal times in order of items.
+    """
+    from millrace.operators.matrix import running
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return running(rows.withColumn("_one", F.lit(1).cast("long")), "key", "_one", "_n").select((F.col("_n") - 1).cast("int").alias("idx"), *[c for c in rows.columns])
+
+    users = numbered(table.select(F.col(user).alias("key")).distinct())
+    items = table.select(F.col(item).alias("key")).distinct() if names is None else names.select("key", "name")
+    items = numbered(items)
+    shown = F.col("name") if names is not None else F.col("key")
+    at = table.select(F.col(user).alias("_u"), F.col(item).alias("_i"), F.col(value).cast("float").alias("v"), F.col(time).alias("_t"))
+    at = at.join(users.select(F.col("key").alias("_u"), F.col("idx").alias("u")), "_u").join(items.select(F.col("key").alias("_i"), F.col("idx").alias("i"), shown.alias("_name")), "_i")
+    held = ordered(at, "u", "_name", "_t", "i")
+    return at.select("u", "i", "v"), held, users.select("idx", "key"), items.select("idx", shown.alias("key"))
+
+
 def lines_of(text: DataFrame, column: str, per_line: int = 1000) -> DataFrame:
     """Words of each row in lines of ``per_line``."""
     cut = tokens(text.withColumn("_row", F.monotonically_increasing_id()), "_row", column)

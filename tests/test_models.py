@@ -3,10 +3,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.models.alternating import ALS, CFR, EALS, SOLVERS, gathered, solve, with_parts
+from millrace.models.alternating import ALS, CFR, EALS, SOLVERS, solve
 from millrace.models.base import EarlyStopping, options
 from millrace.models.gradient import BPRMF, W2V, WARP
 from millrace.models.plsi import PLSI
+from millrace.operators import blocks
 
 
 @pytest.fixture(scope="module")
@@ -23,10 +24,14 @@ def precision(spark, model):
 
 def test_options():
     assert options({"reg": 0.1}, {"reg": 0.5})["reg"] == 0.5
+    for wrong in ({"reg": "x"}, {"accelerator": True}, {"reg": 0.1, "no_such": 1}):
+        with pytest.raises(RuntimeError):
+            options({"reg": 0.1}, wrong)
     with pytest.raises(RuntimeError):
-        options({"reg": 0.1}, {"reg": "x"})
-    with pytest.raises(RuntimeError):
-        options({}, {"accelerator": True})
+        ALS({"reg_j": 0.1})
+    assert options({"reg": 0.1}, {"num_workers": 4, "accelerator": False})["reg"] == 0.1
+    assert BPRMF({"reg_j": 9.9, "reg_b": 0.0, "update_i": False}).opt["reg_j"] == 9.9 and BPRMF().opt["lr"] == 0.002
+    assert WARP({"reg_u": 0.1, "min_lr": 0.0, "eps": 1e-8}).opt["max_trials"] == 500
 
 
 def test_early_stopping():
@@ -69,13 +74,139 @@ def test_als(spark, planted, tmp_path):
     assert set(part.factors) == {"Q"} and part.most_similar(spark.range(2).toDF("id"), 3).count() == 6
 
 
-def test_wide_rows_are_split(spark, planted, monkeypatch):
-    from millrace.models import alternating
+def arrays(model, name):
+    return {r.id: np.array(r.vec) for r in model.factors[name].collect()}
+
+
+def entries(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.u, []).append((r.i, r.v))
+    return out
+
+
+@pytest.mark.parametrize("wide", [20_000, 3])
+@pytest.mark.parametrize("d", [5, 30])
+def test_epochs_against_numpy(spark, planted, monkeypatch, wide, d):
+    """Half epochs of ALS and EALS, with rows whole and in parts, from the factors they start with."""
+    monkeypatch.setattr(blocks, "WIDE", wide)
+    rows = planted.withColumn("v", (F.col("u") % 3 + 1).cast("double"))
+    by_user, alpha = entries(rows), 8.0
+    model = ALS({"d": d, "optimizer": "llt"}).initialize(rows)
+    q = arrays(model, "Q")
+    y = np.stack(list(q.values()))
+    assert model.blocks["u"].split == (wide == 3)
+    model.half("u")
+    got = arrays(model, "P")
+    for u, held in by_user.items():
+        x, v = np.stack([q[i] for i, _ in held]), np.array([v for _, v in held])
+        assert np.allclose(got[u], np.linalg.solve(y.T @ y + alpha * (x * v[:, None]).T @ x + 0.1 * np.eye(d), ((1 + alpha * v)[:, None] * x).sum(0)))
+    model = EALS({"d": d, "c0": 10.0}).initialize(rows)
+    p, q, c = arrays(model, "P"), arrays(model, "Q"), {r.id: r.e for r in model.weights.collect()}
+    loss, want = model.half("u"), 0.0
+    g = sum(c[i] * np.outer(x, x) for i, x in q.items())
+    got = arrays(model, "P")
+    for u, held in by_user.items():
+        x, v, w = np.stack([q[i] for i, _ in held]), np.array([v for _, v in held]), np.array([c[i] for i, _ in held])
+        own, a = p[u].copy(), 1 + alpha * v
+        hat = x @ own
+        want += (a * (v - hat) ** 2 - w * hat**2).sum() + own @ g @ own
+        for k in range(d):
+            rest = x @ own - own[k] * x[:, k]
+            own[k] = (((a * v - (a - w) * rest) * x[:, k]).sum() - (g[k] @ own - g[k, k] * own[k])) / (((a - w) * x[:, k] ** 2).sum() + g[k, k] + 0.1)
+        want += 0.1 * own @ own
+        assert np.allclose(got[u], own)
+    assert np.isclose(loss, want)
+    before = arrays(model, "Q")
+    model.half("i")
+    p, got = got, arrays(model, "Q")
+    g = sum(np.outer(x, x) for x in p.values())
+    by_item = entries(rows.select(F.col("i").alias("u"), F.col("u").alias("i"), "v"))
+    for i, held in by_item.items():
+        x, v, own = np.stack([p[u] for u, _ in held]), np.array([v for _, v in held]), before[i].copy()
+        m = x.T @ (x * (1 + alpha * v - c[i])[:, None]) + c[i] * g
+        b = ((1 + alpha * v) * v) @ x
+        for k in range(d):
+            own[k] = (b[k] - m[k] @ own + m[k, k] * own[k]) / (m[k, k] + 0.1)
+        assert np.allclose(got[i], own)
+
+
+def test_plsi_epoch_against_numpy(spark, planted):
+    model = PLSI({"d": 4}).initialize(planted)
+    p, q = arrays(model, "P"), arrays(model, "Q")
+    counts, loss, n = {}, 0.0, 0
+    for r in planted.collect():
+        j = np.maximum(p[r.u] * q[r.i], 1e-10)
+        loss, n = loss - np.log(j.sum()), n + 1
+        for key in (("u", r.u), ("i", r.i)):
+            counts[key] = counts.get(key, 0) + j / j.sum()
+    assert np.isclose(model.step(), loss / n)
+    for u, x in arrays(model, "P").items():
+        y = counts["u", u] + 1 / 4
+        assert np.allclose(x, y / y.sum())
+    total = sum(counts["i", i] + 1 / len(q) for i in q)
+    for i, x in arrays(model, "Q").items():
+        assert np.allclose(x, (counts["i", i] + 1 / len(q)) / total)
 
-    monkeypatch.setattr(alternating, "WIDE", 3)
-    rows = with_parts(planted)
-    q = planted.select(F.col("i").alias("id")).distinct().withColumn("vec", F.array(F.lit(1.0)))
-    assert gathered(rows.withColumn("_parts", F.col("_parts_u")), "u", q).groupBy("id").count().where("count > 1").count() > 0
+
+def test_bpr_epoch_against_numpy(spark, planted):
+    """One step of plain gradients from the triples that the epoch draws."""
+    model = BPRMF({"d": 4, "lr": 0.1, "reg_j": 0.5, "num_iters": 10}).initialize(planted)
+    triples = [(r.u, r.i, r.j) for r in model.negatives().collect()]
+    p, q = arrays(model, "P"), arrays(model, "Q")
+    own, held = {(r.u, r.i) for r in planted.collect()}, {}
+    assert len(triples) == len(own) and not [t for t in triples if (t[0], t[2]) in own]
+    for u, i, j in triples:
+        x = p[u] @ (q[i] - q[j])
+        w = 0.0 if x > 6 else 1.0 if x < -6 else 1 / (1 + np.exp(x))
+        for key, g, r in ((("P", u), w * (q[i] - q[j]), 0.025), (("Q", i), w * p[u], 0.025), (("Q", j), -w * p[u], 0.5)):
+            held.setdefault(key, []).append((g, r))
+    model.step()
+    for name, old in (("P", p), ("Q", q)):
+        for k, x in arrays(model, name).items():
+            gs = held.get((name, k))
+            want = old[k] + 0.1 * (sum(g for g, _ in gs) / np.sqrt(len(gs)) - sum(r for _, r in gs) / len(gs) * old[k]) if gs else old[k]
+            assert np.allclose(x, want)
+
+
+@pytest.mark.parametrize("power", [0.0, 0.75])
+def test_every_positive_finds_an_unseen_item(spark, power):
+    """Users that hold nearly all items, or all of them; 41 positives of which earlier versions trained 8."""
+    rows = [(0, i) for i in range(38)] + [(1, i) for i in range(40)] + [(2, 0), (2, 39), (3, 5)]
+    df = spark.createDataFrame(rows, "u long, i long")
+    model = BPRMF({"d": 3, "num_negative_samples": 3, "sampling_power": power}).initialize(df, spark.range(40))
+    own, popular = set(rows), {i for _, i in rows}
+    drawn = [(r.u, r.i, r.j) for r in model.negatives().collect()]
+    assert len(drawn) == 3 * (38 + 2 + 1) and not [x for x in drawn if (x[0], x[2]) in own or x[0] == 1]
+    assert {x[2] for x in drawn if x[0] == 0} == {38, 39} and (power == 0 or {x[2] for x in drawn} <= popular)
+    assert model.step() > 0
+    assert model.loss_samples(3).count() == 2 + (1 - (1 in {r.u for r in model.rows.where("free = 0").collect()})) or model.loss_samples().count() <= 2
+
+
+def test_draws_follow_weights(spark):
+    rows = [(u, i) for u in range(400) for i in range(8) if u % (i + 1) == 0]
+    model = BPRMF({"d": 2, "num_negative_samples": 20, "sampling_power": 1.0, "verify_neg": False}).initialize(spark.createDataFrame(rows, "u long, i long"))
+    drawn = {r.j: r.n for r in model.negatives().groupBy("j").agg(F.count("*").alias("n")).collect()}
+    n, total = {i: sum(1 for _, k in rows if k == i) for i in range(8)}, sum(drawn.values())
+    for i in range(8):
+        assert abs(drawn[i] / total - n[i] / len(rows)) < 0.02
+
+
+def test_warp_goes_on_until_max_trials(spark):
+    """Only one of 300 items violates: 16 draws seldom find it, 500 mostly do, and the first hit counts."""
+    df = spark.createDataFrame([(u, 0) for u in range(40)], "u long, i long")
+    found = {}
+    for most in (16, 500):
+        model = WARP({"d": 2, "max_trials": most, "threshold": 0.5}).initialize(df, spark.range(300))
+        model.factors["P"] = model.factors["P"].withColumn("vec", F.array(F.lit(1.0), F.lit(0.0)))
+        model.factors["Q"] = model.factors["Q"].withColumn("vec", F.array(F.when(F.col("id").isin(0, 7), 1.0).otherwise(0.0), F.lit(0.0)))
+        rows = model.violations().collect()
+        assert all(r.j == 7 and r.t < most for r in rows)
+        drawn = model._unseen(model.rows, 0, most).where("j = 7").groupBy("u").agg(F.min("t").alias("t"))
+        assert {(r.u, r.t) for r in rows} == {(r.u, r.t) for r in drawn.collect()}
+        found[most] = len(rows)
+        assert model.step() == found[most] / 40
+    assert found[16] < 10 < 25 < found[500]
 
 
 @pytest.mark.parametrize("kind, opt", [(EALS, {"c0": 10.0}), (PLSI, {"num_iters": 8, "d": 4})])
@@ -85,7 +216,7 @@ def test_alternating(spark, planted, kind, opt):
     assert losses[-1] < losses[0] and precision(spark, model) > 0.9
 
 
-@pytest.mark.parametrize("kind, opt", [(BPRMF, {"optimizer": "adam", "lr": 0.1, "num_iters": 6}), (WARP, {"lr": 0.2, "num_iters": 3})])
+@pytest.mark.parametrize("kind, opt", [(BPRMF, {"optimizer": "adam", "lr": 0.1, "num_iters": 6, "per_coordinate_normalize": True}), (WARP, {"lr": 0.2, "num_iters": 3})])
 def test_ranking(spark, planted, kind, opt):
     model = kind({"d": 6} | opt).initialize(planted)
     model.train()
@@ -114,3 +245,27 @@ def test_warm_start(spark, planted):
     b.inherit(names, items, a, names.where("id < 10"), items)
     both = a.factors["P"].withColumnRenamed("vec", "old").join(b.factors["P"], "id")
     assert both.where("old = vec").count() == 10 and a.factors["Q"].exceptAll(b.factors["Q"]).count() == 0
+
+
+def test_serving_by_key(spark, planted):
+    model = ALS({"d": 4, "num_iters": 1, "optimizer": "llt"}).initialize(planted)
+    users = planted.select(F.col("u").cast("int").alias("idx")).distinct().withColumn("key", F.concat(F.lit("u"), "idx"))
+    items = planted.select(F.col("i").cast("int").alias("idx")).distinct().withColumn("key", F.concat(F.lit("i"), "idx"))
+    with pytest.raises(ValueError):
+        model.recommend(["u1"])
+    model.named(users, items).train()
+    got = model.recommend(["u1", "nobody"], 3, pool=["i1", "i2", "i5", "nothing"]).orderBy("rank").collect()
+    assert {r.user for r in got} == {"u1"} and {r["item"] for r in got} == {"i1", "i2", "i5"}
+    by_index = model.recommend(["u1"], 3, pool=np.array([1, 2, 5])).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in by_index]
+    assert {r.near for r in model.similar(["i0"], 2, pool=["i3", "i6", "i0"]).collect()} == {"i3", "i6"}
+    assert len(model.feature("u3", "user")) == 4 and model.feature("nobody", "user") is None
+    for pool in (["nothing"], np.array([], int)):
+        with pytest.raises(ValueError):
+            model.recommend(["u1"], pool=pool)
+    with pytest.raises(ValueError):
+        model.recommend("u1")
+    vali = planted.where("u < 20 AND i < 9")
+    seen = []
+    out = model.train(lambda k, m: seen.append(m), model.validated(vali, samples=5))
+    assert set(out) == {"train_loss", "val_ndcg", "val_map", "val_accuracy", "val_auc", "val_rmse", "val_error"} and len(seen) == 1

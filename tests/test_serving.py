@@ -34,3 +34,31 @@ def test_pool_self_seen_bias(spark):
     with pytest.raises(ValueError):
         serving.top_k(x, x, 0)
     assert serving.top_k(x, x, 3, pool=x.where("id > 9")).count() == 0
+
+
+@pytest.mark.parametrize("metric", serving.METRICS)
+def test_tiny_and_equal_scores(spark, metric):
+    """Scores near 1e-11 are ranked as they are; equal vectors, wherever they stand, are in order of ids."""
+    x = np.array([[1e-6, k * 1e-5] for k in range(1, 40)])
+    got = serving.top_k(table(spark, [[1e-6, 1e-6]]), table(spark, x), 3, metric, rows=8).orderBy("rank").collect()
+    assert [r.id for r in got] == ([0, 1, 2] if metric == "l2" else [38, 37, 36])  # cosine divides by the lengths and 1e-8
+    assert metric != "dot" or 3e-10 < got[0].score < 4e-10
+    rng = np.random.default_rng(0)
+    same = np.repeat(rng.normal(size=(5, 7)), 40, axis=0)[rng.permutation(200)]
+    got = serving.top_k(table(spark, rng.normal(size=(9, 7))), table(spark, same), 60, metric, rows=33).orderBy("q", "rank").collect()
+    for q in range(9):
+        ids = [r.id for r in got if r.q == q]
+        assert ids[:40] == sorted(ids[:40]) and len({tuple(same[i]) for i in ids[:40]}) == 1 and ids[40:] == sorted(ids[40:])
+
+
+def test_many_seen(spark):
+    rng = np.random.default_rng(1)
+    q, x = rng.normal(size=(15, 4)), rng.normal(size=(60, 4))
+    seen = [(a, b) for a in range(15) for b in range(60) if (a * b) % 7 < 5] + [(3, 999), (99, 1)]
+    got = serving.top_k(table(spark, q), table(spark, x), 5, seen=spark.createDataFrame(seen, "q int, id int"), rows=8).orderBy("q", "rank").collect()
+    s = q @ x.T
+    for a, b in seen:
+        if a < 15 and b < 60:
+            s[a, b] = -np.inf
+    want = [(a, int(b)) for a in range(15) for b in np.argsort(-s[a])[:5] if np.isfinite(s[a, b])]
+    assert [(r.q, r.id) for r in got] == want

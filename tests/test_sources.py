@@ -6,6 +6,7 @@ from millrace.operators import matrix, prepro, splits
 from millrace.sources import matrix as source
 from millrace.sources import streams
 
+#: Small inputs.
 MM = "%%MatrixMarket matrix coordinate integer general\n%\n%\n5 3 5\n1 1 1\n2 1 3\n3 3 1\n4 2 1\n5 2 2\n"
 STREAM = "apple mango mango apple pie juice coke\npie\njuice coke grape\n"
 
@@ -67,3 +68,41 @@ def test_store_and_cache(spark, mm, tmp_path):
     assert built == [1]
     rows, head = source.opened(spark, path, "colwise")
     assert head == {"num_nnz": 5, "num_users": 5, "num_items": 3} and rows.count() == 5
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    for n in range(5):
+        (tmp_path / f"part{n}").write_text("".join(f"{n} {k}\n" for k in range(100 * n)))
+    rows = source.numbered_lines(spark, str(tmp_path / "part*")).orderBy("line").collect()
+    assert [r.line for r in rows] == list(range(1000))
+    for a, b in zip(rows, rows[1:]):
+        (n, k), (m, j) = (map(int, r.value.split()) for r in (a, b))
+        assert (m, j) == (n, k + 1) or j == 0
+
+
+def test_ratings(spark, tmp_path):
+    table = spark.createDataFrame([("b", 10, 4.0, 3), ("a", 20, 1.0, 9), ("a", 10, 2.0, 5), ("b", 20, 5.0, 1), ("a", 10, 3.0, 9)], "user string, item int, v double, t int")
+    names = spark.createDataFrame([(10, "ten"), (20, "twenty"), (30, "thirty")], "key int, name string")
+    matrix_, stream, users, items = streams.ratings(table, "user", "item", "v", "t", names)
+    assert sorted((r.u, r.i, r.v) for r in matrix_.collect()) == [(0, 0, 2.0), (0, 0, 3.0), (0, 1, 1.0), (1, 0, 4.0), (1, 1, 5.0)]
+    assert [r.i for r in stream.orderBy("u", "pos").collect()] == ["ten", "ten", "twenty", "twenty", "ten"]
+    assert {r.key for r in users.collect()} == {"a", "b"} and sorted((r.idx, r.key) for r in items.collect()) == [(0, "ten"), (1, "twenty"), (2, "thirty")]
+    assert sorted(r.value for r in streams.lines(stream).collect()) == ["ten ten twenty", "twenty ten"]
+    source.write_tsv(matrix_, str(tmp_path / "tsv"))
+    assert spark.read.option("sep", "\t").csv(str(tmp_path / "tsv")).count() == 5
+
+
+def test_sampled_places(spark):
+    stream = spark.createDataFrame([(u, p, "ab"[(u + p) % 2]) for u in range(10) for p in range(20)], "u long, pos long, i string")
+    train, held = splits.sample_stream(stream, 0.1)
+    assert held.count() == 20 and train.count() == 180 and train.unionByName(held).exceptAll(stream).count() == 0
+    assert splits.filled(held).agg(F.sum("v")).first()[0] == 20 and splits.filled(held, 1.0).agg(F.max("v")).first()[0] == 1
+    assert splits.evaluated(held, 3).count() == 3
+    assert prepro.identity(stream) is stream
+
+
+def test_running_sums_of_strings(spark):
+    words = [f"same{k:05}" for k in range(3000)]
+    rows = spark.createDataFrame([(w, k % 7) for k, w in enumerate(words)], "w string, n int")
+    got = {r.w: r.cum for r in matrix.running(rows, "w", "n", "cum").collect()}
+    assert [got[w] for w in words] == np.cumsum([k % 7 for k in range(3000)]).tolist()
