@@ -1,29 +1,141 @@
+"""Each stage against a plain version over all rows, pairs or strings of a small table with nulls, repeats and long texts."""
+
+import random
+from collections import Counter
+from math import ceil, sqrt
+
+import pytest
+from pyspark.sql import functions as F
+from test_near_copies import classes, shingles
+from test_quality_rules import brute as measured
+from test_suffix_dedup import brute as removed
+
 import corpus_pipeline as c
-from millrace.llm import quality_rules, simhash, source_mix, suffix_dedup
+from millrace.llm import source_mix
 from millrace.llm.queries import oracle_sql, queries
+from millrace.llm.word_tokens import WordTokens
 from oracle import SF, compare
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, members string, _times int"
 
-def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = c.quality(spark, docs, SF).cache()
-    assert kept.columns == c.COLUMNS and kept.count() == quality_rules.judge(quality_rules.ledger(docs), "2026-1").where("kept").count()
-    near = c.near_dedup(spark, kept, SF).cache()
-    assert near.columns == c.COLUMNS and near.count() == simhash.near_duplicates(kept).select("component_id").distinct().count()
-    exact = c.exact_dedup(spark, near, SF).cache()
-    removed = suffix_dedup.removals(near)
-    gone = removed.where("n_removed = n_bytes AND n_removed > 0").count()
-    assert exact.count() == near.count() - gone
-    mixed = c.mixing(spark, exact, SF).cache()
-    taken = source_mix.mix_by_source(exact)[0]
-    times = {r.doc_id: int(r.taken / r.size + 0.5) if r["size"] else 0 for r in taken.collect()}
-    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in times.items() if n}
-    packed = c.packing(spark, mixed, SF)
-    assert packed.groupBy("doc_id").sum("length").count() == mixed.select("doc_id").distinct().count()
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(11)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    text = lambda n: [rng.choice(pool) for _ in range(n)]
+    base = [text(rng.randint(15, 160)) for _ in range(40)]
+    passage = text(60)
+    out = [" ".join(w) for w in base]
+    for k in range(0, 20, 2):  # near copies, and passages that repeat
+        w = list(base[k])
+        w[rng.randrange(len(w))] = "edited"
+        out.append(" ".join(w))
+    out += [" ".join(base[k] + passage + text(30)) for k in range(30, 36)]
+    out += [None, "", " \n", "# $ % " * 30, "the same line\n" * 40, " ".join(text(15_000)), " ".join(text(8)) + " é日本"]
+    rows = [(k, t, rng.choice(["en", None]), rng.choice(["a", "b", "c", None, "a", "a"]), len(t or ""), "s", "m", 3) for k, t in enumerate(out)]
+    rows += [rows[3], rows[3], (None, out[50], "en", "a", 1, "s", "m", 3), (None, None, None, None, None, "s", "m", 3), (7, " ".join(text(90)), "en", "b", 1, "s", "m", 3)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def given(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def kept_by_rules(text):
+    n, chars, symbols, lines, dup, again = measured(text)
+    return n >= 20 and 100 * again <= 30 * n and 10 * symbols <= n and not (lines >= 4 and 100 * dup > 30 * lines) and 2 * n <= chars <= 20 * n
+
+
+def test_quality(spark, given, rows):
+    got = c.quality(spark, given, "")
+    assert got.columns == c.COLUMNS
+    assert Counter(map(tuple, got.collect())) == Counter(r[:5] for r in rows if kept_by_rules(r[1]))
+
+
+def test_near_dedup(spark, given, rows):
+    got = c.near_dedup(spark, given, "")
+    assert got.columns == c.COLUMNS
+    label, want = classes([shingles(r[1]) for r in rows]), {}
+    for r, x in zip(rows, label, strict=True):
+        want.setdefault(x, []).append(r[:5])
+    kept = [tuple(r) for r in got.collect()]
+    assert len(kept) == len(want)
+    of = {r[:5]: x for r, x in zip(rows, label, strict=True)}
+    assert sorted(of[r] for r in kept) == sorted(want)
+    assert all(r[0] == min((i for i, *_ in want[of[r]] if i is not None), default=None) for r in kept)
+
+
+def test_exact_dedup(spark, given, rows):
+    got = c.exact_dedup(spark, given, "")
+    assert got.columns == c.COLUMNS
+    want = Counter()
+    for r, (size, gone, _, _) in zip(rows, removed([(r[0], r[1]) for r in rows]), strict=True):
+        if not gone or gone < size:
+            want[r[0], r[2], r[3]] += 1
+    found = got.collect()
+    assert Counter((r.doc_id, r.lang, r.source) for r in found) == want
+    assert all(r.n_chars == len(r.text) for r in found)
+    assert Counter(len(r.text.encode()) for r in found if r.text.isascii()) == Counter(
+        size - gone for (i, t, *_), (size, gone, _, _) in zip(rows, removed([(r[0], r[1]) for r in rows]), strict=True) if (t or "").isascii() and (not gone or gone < size)
+    )
+
+
+def test_mixing(spark, given, rows):
+    """Intervals of each source's seeded line, laid out row by row."""
+    hashed = given.select("doc_id", "text", "source", F.xxhash64("text").alias("t")).withColumn("h", F.xxhash64(F.lit(42), "doc_id", "t")).collect()
+    size = lambda t: len((t or "").replace("\x0b", " ").split())
+    sizes = Counter()
+    for r in hashed:
+        sizes[r.source] += size(r.text)
+    goal, n, want = source_mix.targets(sizes), ceil(sqrt(len(hashed))), Counter()
+    for s in sizes:
+        line, at, end = sorted((r.h % n, r.h, r.doc_id or 0, r.t or 0, size(r.text), r.doc_id, r.text) for r in hashed if r.source == s), 0, round(goal[s])
+        for _, _, _, _, words, i, text in line:
+            taken = sum(max(0, min(end, at + words + k * sizes[s]) - (at + k * sizes[s])) for k in range(2))
+            at += words
+            if words and (times := int(taken / words + 0.5)):
+                want[i, text, s] += times
+    got = c.mixing(spark, given, "")
+    assert got.columns == c.COLUMNS and Counter((r.doc_id, r.text, r.source) for r in got.collect()) == want
+    words = Counter()
+    for (_, text, s), times in want.items():
+        words[s] += times * size(text)
+    assert all(abs(words[s] - goal[s]) <= 15_000 / 2 for s in sizes)
+
+
+def test_packing(spark, given, rows):
+    got = c.packing(spark, given, "").collect()
+    ids = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t, *_ in rows:
+        n = len(ids(t or "")) // 2 + 1
+        want[i, n] += n
+    pieces = Counter()
+    for r in got:
+        pieces[r.doc_id, r.doc_tokens] += r.length
+    assert pieces == want
+    ends = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 4096
+
+
+@pytest.mark.parametrize("stage", [f for _, f in c.STAGES], ids=[n for n, _ in c.STAGES])
+def test_empty(spark, stage):
+    assert stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
 
 
 def test_run(spark):
-    assert c.run(spark, SF).count() > 0 and [n for n, _ in c.STAGES] == ["quality_rules", "simhash_near_dedup", "suffix_dedup", "source_mix", "lexical_packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in c.STAGES:
+        docs = stage(spark, docs, SF).cache()
+    assert c.run(spark, SF).exceptAll(docs).count() == 0 and docs.count() > 0
+    assert [n for n, _ in c.STAGES] == ["quality_rules", "simhash_near_dedup", "suffix_dedup", "source_mix", "lexical_packing"]
 
 
 def test_sql(spark):

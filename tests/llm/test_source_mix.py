@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -46,3 +47,55 @@ def test_overlapping_sources(spark):
 
 def test_empty(empty):
     assert m.mix_by_source(empty)[0].count() == 0
+
+
+def cheapest(patterns, quotas, repeats):
+    """Most words and least cost by single words along shortest paths of the explicit network (Bellman-Ford)."""
+    edges = []  # from, to, room, cost; an edge and its reverse stand side by side
+
+    def edge(a, b, room, cost):
+        edges.append([a, b, room, cost])
+        edges.append([b, a, 0, -cost])
+
+    for p, n in patterns.items():
+        for k in range(repeats):
+            edge("start", ("p", p), n, k)
+        for s in p:
+            if s in quotas:
+                edge(("p", p), ("s", s), 10**6, 0)
+    for s, q in quotas.items():
+        edge(("s", s), "end", q, 0)
+    words = cost = 0
+    while True:
+        far, came = {"start": 0}, {}
+        for _ in range(len(edges)):
+            changed = False
+            for k, (a, b, room, c) in enumerate(edges):
+                if room and a in far and far[a] + c < far.get(b, 10**9):
+                    far[b], came[b], changed = far[a] + c, k, True
+            if not changed:
+                break
+        if "end" not in far:
+            return words, cost
+        at = "end"
+        while at != "start":
+            k = came[at]
+            edges[k][2] -= 1
+            edges[k ^ 1][2] += 1
+            at = edges[k][0]
+        words, cost = words + 1, cost + far["end"]
+
+
+def test_flow_is_cheapest():
+    rng = random.Random(3)
+    for _ in range(60):
+        sources = ["a", "b", "c", None][: rng.randint(1, 4)]
+        patterns = {tuple(s for s in sources if rng.random() < 0.6): rng.randint(0, 9) for _ in range(rng.randint(1, 5))}
+        quotas = {s: rng.randint(0, 14) for s in sources}
+        repeats = rng.randint(1, 3)
+        given = m.flow(patterns, quotas, repeats)
+        used = {p: sum(n for (q, _), n in given.items() if q == p) for p in patterns}
+        assert all(n >= 0 for n in given.values()) and all(used[p] <= repeats * n for p, n in patterns.items())
+        assert all(sum(n for (_, s), n in given.items() if s == t) <= q for t, q in quotas.items())
+        cost = sum(k * max(0, min(used[p], (k + 1) * n) - k * n) for p, n in patterns.items() for k in range(repeats))
+        assert (sum(used.values()), cost) == cheapest(patterns, quotas, repeats)
