@@ -60,19 +60,21 @@ def cut_by_shard(key: np.ndarray, n: int) -> tuple[np.ndarray, Callable]:
     return shard, lambda x: np.split(x, first[1:]) if len(first) else []
 
 
-def shared(texts: DataFrame, make: Callable, n: int) -> DataFrame:
-    """bucket, shard, shared (bits), n: for each bucket's distinct keys if several documents have them.
+def shared(texts: DataFrame, make: Callable, n: int, hot: int | None = None) -> DataFrame:
+    """bucket, shard, shared (bits), n, hot (places): for each bucket's distinct keys if several documents have them, and which occur over ``hot`` times.
 
-    ``make`` builds from a bucket's rows an object with ``keys()``: distinct keys in order, and
-    which of them several of its documents have.
+    ``make`` builds from a bucket's rows an object with ``keys()``: distinct keys in order, which of them several of its
+    documents have, and how often each occurs.
     """
 
     def send(table: pa.Table) -> pa.Table:
-        key, several = make(table).keys()
+        key, several, count = make(table).keys()
         shard, cut = cut_by_shard(key, n)
+        often = [np.flatnonzero(x > 1) for x in cut(count)]  # the others once
         return pa.table({
             "bucket": pa.array([table["bucket"][0].as_py()] * len(shard), pa.int32()), "shard": pa.array(shard, pa.int32()),
             "keys": pa.array([x.astype("<u4").tobytes() for x in cut(key & 0xFFFFFFFF)], pa.binary()), "several": pa.array([np.packbits(x).tobytes() for x in cut(several)], pa.binary()),
+            "often": pa.array([np.concatenate((at, x[at])).astype("<u4").tobytes() if hot else b"" for at, x in zip(often, cut(count), strict=True)], pa.binary()),
         })
 
     def answer(table: pa.Table) -> pa.Table:
@@ -85,19 +87,39 @@ def shared(texts: DataFrame, make: Callable, n: int) -> DataFrame:
         found = several.astype(bool)
         found[order[1:][same]] = True
         found[order[:-1][same]] = True
-        out = np.split(found, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"bucket": table["bucket"], "shard": table["shard"], "shared": pa.array([np.packbits(x).tobytes() for x in out], pa.binary()), "n": pa.array([len(x) for x in out], pa.int32())})
+        ends = np.cumsum([len(k) for k in keys])
+        out = np.split(found, ends[:-1])
+        many = [np.zeros(0, np.int64)] * len(keys)
+        if hot:
+            count = np.ones(len(key), np.int64)
+            for end, k, x in zip(ends.tolist(), keys, table["often"].to_pylist(), strict=True):
+                at, times = np.frombuffer(x, "<u4").reshape(2, -1)
+                count[end - len(k) + at.astype(np.int64)] = times
+            heads = np.flatnonzero(np.concatenate(([True], ~same))) if len(key) else np.zeros(0, np.int64)
+            total = np.zeros(len(key), bool)
+            if len(key):
+                total[order] = np.repeat(np.add.reduceat(count[order], heads) > hot, np.diff(np.append(heads, len(key))))
+            many = [np.flatnonzero(x) for x in np.split(total, ends[:-1])]
+        return pa.table({
+            "bucket": table["bucket"], "shard": table["shard"], "shared": pa.array([np.packbits(x).tobytes() for x in out], pa.binary()), "n": pa.array([len(x) for x in out], pa.int32()),
+            "hot": pa.array([x.astype("<u4").tobytes() for x in many], pa.binary()),
+        })
 
-    sent = texts.groupBy("bucket").applyInArrow(send, f"{SIDE}, keys binary, several binary")
-    return written(sent.groupBy("shard").applyInArrow(answer, f"{SIDE}, shared binary, n int"), "answers")
+    sent = texts.groupBy("bucket").applyInArrow(send, f"{SIDE}, keys binary, several binary, often binary")
+    return written(sent.groupBy("shard").applyInArrow(answer, f"{SIDE}, shared binary, n int, hot binary"), "answers")
 
 
-def shared_keys(bucket, answers: pa.Table) -> np.ndarray:
-    """Of a bucket's keys, in order: those that ``answers`` say several documents have."""
+def shared_keys(bucket, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's keys, in order: those that ``answers`` say several documents have, and which of these are hot."""
     answers = answers.sort_by("shard")
     bits = [np.unpackbits(np.frombuffer(x, np.uint8))[:k] for x, k in zip(answers["shared"].to_pylist(), answers["n"].to_pylist(), strict=True)]
-    key, _ = bucket.keys()
-    return key[np.concatenate(bits).astype(bool)] if bits else key[:0]
+    key = bucket.keys()[0]
+    if not bits:
+        return key[:0], np.zeros(0, bool)
+    several, hot = np.concatenate(bits).astype(bool), np.zeros(len(key), bool)
+    for start, x in zip(np.cumsum([0, *map(len, bits)]).tolist(), answers["hot"].to_pylist(), strict=False):
+        hot[start + np.frombuffer(x, "<u4").astype(np.int64)] = True
+    return key[several], hot[several]
 
 
 def gathered(table: pa.Table, column: str, dtype) -> np.ndarray:

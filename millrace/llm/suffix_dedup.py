@@ -15,8 +15,11 @@ in a table bucketed in the shared folder, and then:
    others, ordered by document; walking its runs marks strings owned by a smaller document;
 5. buckets apply the marks.
 
-Repeats within a bucket are joined before anything is sent, so a key or copy that holds a third
-of all rows costs one entry for each bucket. What a shard holds is distinct contexts only.
+Repeats within a bucket are joined before anything is sent, so a copy that holds a third of all rows
+costs one entry for each bucket. What a shard holds is distinct contexts only. A key that occurs more than
+``HOT`` times, such as that of a common phrase in ever different surroundings, is not brought together:
+each string around it goes to the shard of its own 64-bit hash, where the smallest document is found by
+sorting. So an index has at most ``HOT`` contexts of a key, and no key needs one task.
 
 Null text: empty. Null id: larger than any other. Rows of equal id don't clean each other.
 Texts under LENGTH bytes stay. Empty table: empty result. Extra columns are ignored by
@@ -40,6 +43,8 @@ LENGTH = 50
 KGRAM = 24
 STRINGS = LENGTH - KGRAM + 1  # of LENGTH bytes around a k-gram
 WIDTH = LENGTH + STRINGS - 1
+#: Occurrences of a key beyond which its strings are dealt by their own hash.
+HOT = 8192
 NUL, PAD = 0xFE, 0xFF  # bytes that UTF-8 never has
 LAST = np.iinfo(np.int64).max
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -100,13 +105,37 @@ class Bucket:
         least = least[at]
         return a + (least & np.uint64(0xFFFFFF)).astype(np.int64), start[at], start[end & inside], (least >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order, and which of them several ids have."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, which of them several ids have, and how often each occurs."""
         order = np.lexsort((self.ids[self.doc], self.key))
         key, owner = self.key[order], self.ids[self.doc[order]]
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         ends = np.append(heads[1:], len(key))
-        return key[heads], owner[heads] != owner[ends - 1] if len(key) else np.zeros(0, bool)
+        return key[heads], owner[heads] != owner[ends - 1] if len(key) else np.zeros(0, bool), ends - heads
+
+
+class Strings:
+    """The strings of a bucket's occurrences of hot keys (sorted), joined by their hash: each goes to the shard of its own hash."""
+
+    def __init__(self, bucket: Bucket, hot: np.ndarray):
+        b, at = bucket, np.flatnonzero(np.isin(bucket.key, hot))
+        n = b.last[at] - b.first[at] + 1
+        self.start = np.repeat(b.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        owner = np.repeat(b.ids[b.doc[at]], n)
+        windows = np.lib.stride_tricks.sliding_window_view(b.data, LENGTH) if len(at) else None
+        some = [row_hash(windows[self.start[k : k + 100_000]]) for k in range(0, len(self.start), 100_000)]
+        h = np.concatenate([np.zeros(0, np.uint64), *some])
+        order = np.lexsort((owner, h))
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, bool)
+        heads = order[new]
+        self.of = np.empty(len(h), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.hash, self.owner = h[heads], owner[heads]
+        self.later = owner > self.owner[self.of]
+
+    def starts(self, smaller: np.ndarray) -> np.ndarray:
+        """Places of strings that a smaller document has; ``smaller``: which of the joined ones have one elsewhere."""
+        return self.start[self.later | smaller[self.of]]
 
 
 class Contexts:
@@ -192,6 +221,15 @@ def marks(key: np.ndarray, entry: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
+def smaller(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which rows have a smaller owner of the same key."""
+    order = np.lexsort((owner, key))
+    head = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    out = np.empty(len(key), bool)
+    out[order] = owner[order] > np.repeat(owner[order][head], np.diff(np.append(head, len(key))))
+    return out
+
+
 def _by_key(rows: np.ndarray, key: np.ndarray, size: int = 8192) -> Iterator[np.ndarray]:
     """``rows`` in parts of about ``size``, for an index each; no key is in two parts."""
     heads = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key)) if len(key) else np.zeros(1, int)
@@ -202,8 +240,8 @@ def _by_key(rows: np.ndarray, key: np.ndarray, size: int = 8192) -> Iterator[np.
             start = head
 
 
-def removed(bucket: Bucket, contexts: Contexts, mark: np.ndarray) -> np.ndarray:
-    """Of the bucket's bytes: those to remove."""
+def removed(bucket: Bucket, contexts: Contexts, mark: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Of the bucket's bytes: those to remove. ``more``: further strings, by where they start."""
     b, at = bucket, contexts.at
     starts = np.zeros(len(b.data) + 1, np.int64)
     full = at[contexts.later]
@@ -214,6 +252,7 @@ def removed(bucket: Bucket, contexts: Contexts, mark: np.ndarray) -> np.ndarray:
     bits = mark[contexts.of[some]]
     for column in range(STRINGS):
         hit[contexts.left[some[bits >> np.uint32(column) & 1 == 1]] + column] = True
+    hit[more] = True
     begun = np.concatenate(([0], np.cumsum(hit)))
     before = np.maximum(np.arange(len(hit)) - LENGTH + 1, 0)
     return begun[1:] > begun[before]
@@ -230,32 +269,43 @@ def _marked(docs: DataFrame, ident: str, text: str, emit, schema, more: list[str
     texts = full.select("bucket", "doc_id", "t")
 
     def send_contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """Contexts by key, then strings of hot keys (without entries) by hash."""
         bucket = _texts(table)
-        c = Contexts(bucket, shared_keys(bucket, answers))
-        shard, cut = cut_by_shard(c.key, n)
-        blob = lambda x, kind: pa.array([y.astype(kind).tobytes() for y in cut(x)], pa.binary())
-        at = table["bucket"][0].as_py()
-        return pa.table({"bucket": pa.array([at] * len(shard), pa.int32()), "shard": pa.array(shard, pa.int32()), "keys": blob(c.key, "<i8"), "entries": blob(c.entry, "u1"), "owners": blob(c.owner, "<i8")})
+        known, hot = shared_keys(bucket, answers)
+        at, tables = table["bucket"][0].as_py(), []
+        c, s = Contexts(bucket, known[~hot]), Strings(bucket, known[hot])
+        for key, of, entry, owner in ((c.key, c.key, c.entry, c.owner), (s.hash.view(np.int64), (s.hash >> np.uint64(64 - KEY_BITS)).astype(np.int64), None, s.owner)):
+            shard, cut = cut_by_shard(of, n)
+            blob = lambda x, kind: pa.array([y.astype(kind).tobytes() for y in cut(x)], pa.binary())  # noqa: B023, E731
+            entries = pa.nulls(len(shard), pa.binary()) if entry is None else blob(entry, "u1")
+            tables.append(pa.table({"bucket": pa.array([at] * len(shard), pa.int32()), "shard": pa.array(shard, pa.int32()), "keys": blob(key, "<i8"), "entries": entries, "owners": blob(owner, "<i8")}))
+        return pa.concat_tables(tables)
 
     def mark(table: pa.Table) -> pa.Table:
-        get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        keys = get("keys", "<i8")
-        out = marks(np.concatenate(keys), np.concatenate(get("entries", "u1")).reshape(-1, WIDTH + 2), np.concatenate(get("owners", "<i8")))
-        cut = np.split(out, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"bucket": table["bucket"], "shard": table["shard"], "marks": pa.array([x.astype("<u4").tobytes() for x in cut], pa.binary())})
+        tables = []
+        for strings in (False, True):
+            some = table.filter(pa.compute.equal(pa.compute.is_null(table["entries"]), strings))
+            if not some.num_rows:
+                continue
+            get = lambda name, kind: [np.frombuffer(x, kind) for x in some[name].to_pylist()]  # noqa: B023, E731
+            keys, owner = get("keys", "<i8"), np.concatenate(get("owners", "<i8"))
+            key = np.concatenate(keys)
+            out = smaller(key, owner) if strings else marks(key, np.concatenate(get("entries", "u1")).reshape(-1, WIDTH + 2), owner)
+            cut = np.split(out, np.cumsum([len(k) for k in keys])[:-1])
+            tables.append(pa.table({"bucket": some["bucket"], "shard": some["shard"], "marks": pa.array([x.astype("u1" if strings else "<u4").tobytes() for x in cut], pa.binary()), "strings": pa.array([strings] * some.num_rows)}))
+        return pa.concat_tables(tables)
 
     def apply(table: pa.Table, sides: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("t", "ascending")])
         bucket = _texts(table)
-        answers = sides.filter(pa.compute.is_valid(sides["shared"]))
-        got = gathered(sides.filter(pa.compute.is_valid(sides["marks"])), "marks", "<u4")
-        contexts = Contexts(bucket, shared_keys(bucket, answers))
-        return emit(table, bucket, removed(bucket, contexts, got))
+        known, hot = shared_keys(bucket, sides.filter(pa.compute.is_valid(sides["shared"])))
+        got, of = (gathered(sides.filter(pa.compute.equal(sides["strings"], kind)), "marks", "u1" if kind else "<u4") for kind in (False, True))
+        return emit(table, bucket, removed(bucket, Contexts(bucket, known[~hot]), got, Strings(bucket, known[hot]).starts(of.astype(bool))))
 
-    answers = shared(texts, _texts, n)
+    answers = shared(texts, _texts, n, HOT)
     found = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_contexts, f"{SIDE}, keys binary, entries binary, owners binary")
-    marked = written(found.groupBy("shard").applyInArrow(mark, f"{SIDE}, marks binary"), "marks")
-    sides = answers.withColumn("marks", F.lit(None).cast("binary")).unionByName(marked.select("bucket", "shard", F.lit(None).cast("binary").alias("shared"), F.lit(None).cast("int").alias("n"), "marks"))
+    marked = written(found.groupBy("shard").applyInArrow(mark, f"{SIDE}, marks binary, strings boolean"), "marks")
+    sides = answers.unionByName(marked, allowMissingColumns=True)
     return full.groupBy("bucket").cogroup(sides.groupBy("bucket")).applyInArrow(apply, schema)
 
 

@@ -1,7 +1,9 @@
+import random
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pytest
 
 from millrace.llm import suffix_dedup
 from millrace.llm.run_index import RunIndex
@@ -54,3 +56,16 @@ def test_run_index():
 
 def test_empty(empty):
     assert suffix_dedup.removals(empty).count() == 0 and suffix_dedup.cleaned(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, 20, 8192])
+def test_hot_keys(spark, docs, texts, monkeypatch, hot):
+    """A phrase in ever different surroundings; strings of hot keys are found by their own hash."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrase, longer = noise(30), noise(60)
+    rows = [(k, noise(rng.randint(0, 60)) + (longer if k % 7 == 0 else phrase) + noise(rng.randint(0, 60))) for k in range(150)] + [t for t in texts if len(t[1] or "") < 5000]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, *b) for (i, _), b in zip(rows, brute(rows), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removals(df).collect()) == want
