@@ -131,6 +131,19 @@ def test_epochs_against_numpy(spark, planted, monkeypatch, wide, d):
         assert np.allclose(got[i], own)
 
 
+def test_blocks_of_dimensions_are_the_full_systems(spark, planted, monkeypatch):
+    """Sweeps by predictions against the same sweeps over whole systems, which rows in parts take."""
+    rows, found = planted.withColumn("v", (F.col("u") % 2 + 1).cast("double")), []
+    for wide in (20_000, 3):
+        monkeypatch.setattr(blocks, "WIDE", wide)
+        model = ALS({"d": 7, "optimizer": "ialspp", "block_size": 3, "num_iters": 2, "adaptive_reg": True}).initialize(rows)
+        losses = [model.step(), model.step()]
+        found.append((losses, arrays(model, "P"), arrays(model, "Q")))
+    assert np.allclose(found[0][0], found[1][0]) and losses[1] < losses[0]
+    for k in (1, 2):
+        assert all(np.allclose(x, found[1][k][i]) for i, x in found[0][k].items())
+
+
 def test_plsi_epoch_against_numpy(spark, planted):
     model = PLSI({"d": 4}).initialize(planted)
     p, q = arrays(model, "P"), arrays(model, "Q")
