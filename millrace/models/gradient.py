@@ -204,6 +204,13 @@ class BPRMF(Gradient):
         return loss
 
 
+#: By name of a score: how much better i is than j for u, and the gradients of u, i and j where that counts.
+SCORES = {
+    "dot": (lambda p, q, n: dot(p, _minus(q, n)), lambda p, q, n, w: _scaled(_minus(q, n), w), lambda p, q, n, w: _scaled(p, w), lambda p, q, n, w: _scaled(p, -w)),
+    "l2": (lambda p, q, n: squared_distance(p, n) - squared_distance(p, q), lambda p, q, n, w: _scaled(_minus(q, n), 2 * w), lambda p, q, n, w: _scaled(_minus(p, q), w), lambda p, q, n, w: _scaled(_minus(p, n), -w)),
+}
+
+
 class WARP(Gradient):
     #: Options with their defaults; ``trials_at_once`` is the size of the first round of trials.
     DEFAULTS = {
@@ -212,8 +219,8 @@ class WARP(Gradient):
     }
 
     def initialize(self, rows: DataFrame, items: DataFrame | None = None) -> "WARP":
-        if self.opt["optimizer"] not in ("adagrad", "adam") or self.opt["score_func"].lower() not in ("dot", "l2"):
-            raise ValueError("WARP takes adagrad or adam, dot or l2")
+        if self.opt["optimizer"] not in ("adagrad", "adam") or self.opt["score_func"].lower() not in SCORES:
+            raise ValueError(f"WARP takes adagrad or adam, and a score of {', '.join(SCORES)}")
         self._interactions(rows, items, 0.0)
         self._start({"P": self.rows.select(F.col("u").alias("id")).distinct(), "Q": self.item_ids}, False, 1 / self.opt["d"])
         return self
@@ -223,8 +230,8 @@ class WARP(Gradient):
 
         Rounds of draws, each twice as large as the one before, go on for the rows that are still open.
         """
-        l2, done, n, open_, found = self.opt["score_func"].lower() == "l2", 0, self.opt["trials_at_once"], self.rows, []
-        margin = squared_distance("p", "n") - squared_distance("p", "q") if l2 else dot("p", _minus("q", "n"))
+        done, n, open_, found = 0, self.opt["trials_at_once"], self.rows, []
+        margin = SCORES[self.opt["score_func"].lower()][0]("p", "q", "n")
         while done < self.opt["max_trials"]:
             n = min(n, self.opt["max_trials"] - done)
             hits = self._joined(self._unseen(open_, done, n)).where(margin < self.opt["threshold"]).groupBy("row").agg(F.min_by(F.struct("j", "t"), "t").alias("f"))
@@ -239,15 +246,15 @@ class WARP(Gradient):
 
     def step(self) -> float:
         """One pass over all positives; the share of those with a violation."""
-        opt, l2 = self.opt, self.opt["score_func"].lower() == "l2"
+        opt, (_, user, item, other) = self.opt, SCORES[self.opt["score_func"].lower()]
         rank = F.log(F.greatest(F.lit(1), F.floor((self.n_items - F.col("width") - 1) / (F.col("t") + 1))))
         at = self._joined(self.violations()).withColumn("phi", rank.cast("double"))
         phi, zero = F.col("phi"), F.lit(0.0)
-        parts = [("P", F.col("u"), _scaled(_minus("q", "n"), phi * (2 if l2 else 1)), zero, opt["reg_u"])]
+        parts = [("P", F.col("u"), user("p", "q", "n", phi), zero, opt["reg_u"])]
         if opt["update_i"]:
-            parts.append(("Q", F.col("i"), _scaled(_minus("p", "q") if l2 else F.col("p"), phi), zero, opt["reg_i"]))
+            parts.append(("Q", F.col("i"), item("p", "q", "n", phi), zero, opt["reg_i"]))
         if opt["update_j"]:
-            parts.append(("Q", F.col("j"), _scaled(_minus("p", "n") if l2 else F.col("p"), -phi), zero, opt["reg_j"]))
+            parts.append(("Q", F.col("j"), other("p", "q", "n", phi), zero, opt["reg_j"]))
         sums, _ = self._summed(at, parts, F.lit(1.0))
         self._apply("P", sums, opt["lr"], 0.0, True)
         self._apply("Q", sums, opt["lr"], 0.0, True)

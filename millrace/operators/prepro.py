@@ -31,7 +31,10 @@ def sppmi(df: DataFrame, value: str = "v") -> DataFrame:
 PREPRO = {"PreProcess": identity, "OneBased": one_based, "MinMaxScalar": min_max, "ImplicitALS": implicit_log, "SPPMI": sppmi}
 
 
-def apply(df: DataFrame, name: str, **options) -> DataFrame:
+def apply(df: DataFrame, name, **options) -> DataFrame:
+    """By name, or by a function of a table and options."""
+    if callable(name):
+        return name(df, **options)
     if name not in PREPRO:
         raise ValueError(f"unknown pre-processing {name!r}")
     return PREPRO[name](df, **options)

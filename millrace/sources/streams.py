@@ -58,6 +58,12 @@ def ratings(table: DataFrame, user: str, item: str, value: str, time: str, names
     return at.select("u", "i", "v"), held, users.select("idx", "key"), items.select("idx", shown.alias("key"))
 
 
+def rating_file(spark: SparkSession, path: str, sep: str = "\t", header: bool = False) -> DataFrame:
+    """user, item, value, time: the first four columns of a text file, as MovieLens has them (tabs without header, or commas with one)."""
+    rows = spark.read.option("sep", sep).option("header", header).csv(path)
+    return rows.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(rows.columns, ("user", "item", "value", "time"), strict=False)]).withColumns({"value": F.col("value").cast("float"), "time": F.col("time").cast("long")})
+
+
 def lines_of(text: DataFrame, column: str, per_line: int = 1000) -> DataFrame:
     """Words of each row in lines of ``per_line``."""
     cut = tokens(text.withColumn("_row", F.monotonically_increasing_id()), "_row", column)

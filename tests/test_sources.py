@@ -106,3 +106,14 @@ def test_running_sums_of_strings(spark):
     rows = spark.createDataFrame([(w, k % 7) for k, w in enumerate(words)], "w string, n int")
     got = {r.w: r.cum for r in matrix.running(rows, "w", "n", "cum").collect()}
     assert [got[w] for w in words] == np.cumsum([k % 7 for k in range(3000)]).tolist()
+
+
+def test_rating_files(spark, tmp_path):
+    (tmp_path / "u.data").write_text("1\t7\t3\t90\n2\t7\t5\t10\n1\t8\t4\t20\n")
+    (tmp_path / "ratings.csv").write_text("userId,movieId,rating,timestamp\n1,7,3.5,90\n")
+    tabs, commas = streams.rating_file(spark, str(tmp_path / "u.data")), streams.rating_file(spark, str(tmp_path / "ratings.csv"), ",", True)
+    assert [tuple(r) for r in commas.collect()] == [("1", "7", 3.5, 90)]
+    rows, stream, users, items = streams.ratings(tabs, "user", "item", "value", "time")
+    assert sorted(r.value for r in streams.lines(stream).collect()) == ["7", "8 7"] and rows.count() == 3
+    assert sorted(r.value for r in streams.lines_of(spark.createDataFrame([("a b c d e",)], "t string"), "t", 2).collect()) == ["a b", "c d", "e"]
+    assert prepro.apply(rows, lambda df, by: df.withColumn("v", F.col("v") * by), by=2).agg(F.sum("v")).first()[0] == 24
