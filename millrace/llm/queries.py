@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, lexical_packing, license_scan, order_minhash, passage_chains, quality_rules, simhash, source_mix, suffix_dedup, url_filters
+from millrace.llm import chat_format, filter_audit, lexical_packing, license_scan, merkle, order_minhash, passage_chains, quality_rules, sharding, simhash, source_mix, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,9 +100,46 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT t AS first_text, min(doc_id) AS first_id FROM t GROUP BY t),
+p AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+              + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+              + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN t.doc_id > first_id THEN 16 ELSE 0 END)::INT AS bits
+      FROM t JOIN m ON t = first_text LEFT JOIN g ON g.doc_id = t.doc_id),
+c AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM p GROUP BY part, bits),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND (a.b | b.b | c.b | d.b | e.b) = 31),
+s AS (SELECT filter_order, step::INT AS step, bs[step]::INT AS bit, coalesce(list_sum(bs[1 : step - 1]), 0)::INT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+SELECT part, filter_order, step, sum(CASE WHEN bits & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+       sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+       sum(CASE WHEN bits & bit <> 0 AND bits & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+       sum(CASE WHEN bits = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+       sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+       sum(CASE WHEN bits & bit <> 0 AND bits & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+       sum(CASE WHEN bits & bit <> 0 THEN n * (120 // bit_count(bits)) ELSE 0 END)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.interleave(sharding.described(table(spark, sf_dir, "documents")), 40, "rows")
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op2_order_minhash, op3_license_scan, op4_simhash, op5_chat_format, op6_passage_chains, op7_lexical_packing, op8_url_filters, op9_suffix_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_source_mix, op2_order_minhash, op3_license_scan, op4_simhash, op5_chat_format, op6_passage_chains, op7_lexical_packing, op8_url_filters, op9_suffix_dedup, op10_quality_rules, op11_filter_audit, op12_sharding, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": OP8_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op8_url_filters": OP8_SQL, "op10_quality_rules": OP10_SQL, "op11_filter_audit": OP11_SQL}

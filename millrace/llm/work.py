@@ -56,3 +56,9 @@ def words(text):
     """Words of a text column: runs of other than SPACES; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES_RE))
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Lets ``RDD.checkpoint`` write below ``work_root`` where the session has no folder of its own."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"{work_root(spark)}/rdds")
