@@ -1,18 +1,21 @@
 """Models trained by gradients: BPRMF, WARP and skip-gram item embeddings.
 
-Epochs are synchronous: gradients of sampled pairs are summed by id in partial aggregates, then one
-optimizer step moves all vectors. Everything is DataFrame expressions; no factor table is collected
-or broadcast. Samples come from hashes of (row, epoch, try), so recomputed parts agree.
+Plain stochastic descent (BPRMF with sgd, W2V) updates vectors sample by sample in the rotating blocks of ``operators.grid``.
+Adam and Adagrad are synchronous: gradients of sampled pairs are summed by id in partial aggregates, then one optimizer step
+moves all vectors. No factor table is collected or broadcast. Samples come from hashes of (row, epoch, try) or from seeds of
+(epoch, stage, task), so recomputed parts agree.
 """
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import dot, sigmoid_minus, softplus_minus, squared_distance
 from millrace.models.base import Model, initial
-from millrace.operators import words
+from millrace.operators import grid, words
 from millrace.operators.matrix import running
 
 
@@ -37,9 +40,36 @@ class Gradient(Model):
         d = self.opt["d"]
         for k, (name, ids) in enumerate(tables.items()):
             zero = F.array_repeat(F.lit(0.0), d)
-            table = initial(ids, d, scale, self.opt["random_seed"] + k, absolute)
-            self.factors[name] = self.keep(table.withColumns({"bias": F.lit(0.0), "m": zero, "s": zero}), name)
-        self.epoch = 0
+            table = initial(ids, d, scale, self.opt["random_seed"] + k, absolute).withColumn("bias", F.lit(0.0))
+            self.factors[name] = table if self.sequential else self.keep(table.withColumns({"m": zero, "s": zero}), name)
+        self.epoch, self._state, self._view = 0, None, None
+
+    @property
+    def sequential(self) -> bool:
+        """Whether samples move vectors one after the other."""
+        return self.opt.get("optimizer", "sgd") == "sgd"
+
+    def _rotate(self, first: str, second: str, weights: DataFrame | None, samples: DataFrame, columns: tuple[str, str], n: int, run: Callable) -> float:
+        """One epoch over ``samples`` in n blocks; ``weights``: id, w of the second table, 1 by default. The mean loss.
+
+        The second table and so the strata are dealt anew for each epoch; the first stays where it is.
+        """
+        d, salts = self.opt["d"], ((self.opt["random_seed"],), (self.opt["random_seed"], self.epoch + 1))
+        moved = self._state.where(F.col("kind") == grid.FIRST) if self._view is self.factors[first] else grid.packed(self.factors[first], grid.FIRST, n, d, *salts[0])
+        drawn = self.factors[second].select("id", "vec", "bias")
+        drawn = drawn.join(weights, "id", "left").withColumn("w", F.coalesce("w", F.lit(0))) if weights is not None else drawn.withColumn("w", F.lit(1))
+        state = moved.unionByName(grid.packed(drawn, grid.SECOND, n, d, *salts[1]))
+        strata = self.keep(grid.strata(samples, *columns, n, salts), "strata", by="stage")
+        self._state = grid.rotated(state, strata, n, d, run, lambda df: self.keep(df, "state"))
+        self.factors |= {name: grid.unpacked(self._state, kind, d) for name, kind in ((first, grid.FIRST), (second, grid.SECOND))}
+        self._view = self.factors[first]
+        loss, n_samples = grid.losses(self._state)
+        self.epoch += 1
+        return loss / max(1, n_samples)
+
+    def _rates(self, n: int) -> list[float]:
+        """Of each stage of an epoch: falls linearly to ``min_lr``."""
+        return [max(self.opt["min_lr"], self.opt["lr"] * (1 - (self.epoch + s / n) / max(1, self.opt["num_iters"]))) for s in range(n)]
 
     def _place(self, items: DataFrame) -> None:
         """Lays items (id, w: whole numbers above 0) on a line, each as long as its weight, and cuts the line in a cell for each item.
@@ -76,23 +106,27 @@ class Gradient(Model):
         return self._at(both.select("row", "u", "i", "t", "y"))
 
     def _interactions(self, rows: DataFrame, items: DataFrame | None, power: float) -> None:
-        """Distinct rows (row, u, i, free), the items' line by popularity ** power and users' own items on it."""
-        rows = rows.select(F.col("u").cast("long"), F.col("i").cast("long")).distinct().withColumn("row", F.xxhash64("u", "i"))
-        rows = self.keep(rows)
-        ids = rows.select(F.col("i").alias("id")).distinct() if items is None else items.select(F.col("id").cast("long")).distinct()
-        self.item_ids = self.keep(ids)
+        """Distinct pairs (row, u, i), the items and their weights by popularity ** power (whole numbers above 0)."""
+        self.pairs = self.keep(rows.select(F.col("u").cast("long"), F.col("i").cast("long")).distinct().withColumn("row", F.xxhash64("u", "i")))
+        self.item_ids = self.pairs.select(F.col("i").alias("id")).distinct() if items is None else self.keep(items.select(F.col("id").cast("long")).distinct())
         if power == 0:
-            self._place(self.item_ids.withColumn("w", F.lit(1).cast("long")))
+            self.weights = self.item_ids.withColumn("w", F.lit(1).cast("long"))
         else:
-            n = rows.groupBy(F.col("i").alias("id")).agg(F.pow(F.count("*"), F.lit(power)).alias("p"))
+            n = self.pairs.groupBy(F.col("i").alias("id")).agg(F.pow(F.count("*"), F.lit(power)).alias("p"))
             share = F.col("p") / n.agg(F.sum("p")).first()[0]
-            self._place(self.item_ids.join(n, "id").select("id", F.greatest(F.lit(1), F.round(share * MASS)).cast("long").alias("w")))
-        own = rows.select("u", F.col("i").alias("j")).join(self.line, "j")
+            self.weights = self.keep(self.item_ids.join(n, "id").select("id", F.greatest(F.lit(1), F.round(share * MASS)).cast("long").alias("w")))
+        facts = self.pairs.agg(F.count("*").alias("n"), F.countDistinct("u").alias("users"), F.countDistinct("i").alias("items")).first()
+        self.n_rows, self.n_users, self.n_held = facts.n, facts.users, facts["items"] if items is None else self.item_ids.count()
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """row, u, i, free, width of each pair: the weight that the user's own items leave, and their number. Lays the items' line."""
+        self._place(self.weights)
+        own = self.pairs.select("u", F.col("i").alias("j")).join(self.line, "j")
         earlier = F.sum("w").over(Window.partitionBy("u").orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
         self.own = self.keep(own.select("u", (F.col("low") - F.coalesce(earlier, F.lit(0))).alias("at"), "w"))
         held = self.own.groupBy("u").agg(F.sum("w").alias("held"), F.count("*").alias("width"))
-        self.rows = self.keep(rows.join(held, "u", "left").select("row", "u", "i", (self.mass - F.coalesce("held", F.lit(0))).alias("free"), F.coalesce("width", F.lit(0)).alias("width")))
-        self.n_rows = self.rows.count()
+        return self.keep(self.pairs.join(held, "u", "left").select("row", "u", "i", (self.mass - F.coalesce("held", F.lit(0))).alias("free"), F.coalesce("width", F.lit(0)).alias("width")))
 
     def _joined(self, triples: DataFrame) -> DataFrame:
         """``triples`` (u, i, j) with vectors p, q, n and the items' biases bq, bn."""
@@ -124,9 +158,7 @@ class Gradient(Model):
         moved = F.col("g").isNotNull()
         kind = opt["optimizer"]
         g = F.zip_with("g", "vec", lambda a, v: a - (2 * reg + F.col("r")) * v)
-        if kind == "sgd":
-            g = F.zip_with("g", "vec", lambda a, v: a / F.sqrt("n") - (reg + F.col("r") / F.col("n")) * v)
-        elif opt.get("per_coordinate_normalize"):
+        if opt.get("per_coordinate_normalize"):
             g = _scaled(g, 1 / F.col("n"))
         m, s = F.col("m"), F.col("s")
         if kind == "adam":
@@ -150,11 +182,15 @@ class Gradient(Model):
         pick = lambda c: F.when(moved, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
         self.factors[name] = self.keep(t.select("id", vec.alias("vec"), bias.alias("bias"), pick("m"), pick("s")), name)
 
-    def _rate(self) -> float:
-        """Falls linearly to ``min_lr`` for sgd."""
-        if self.opt["optimizer"] != "sgd":
-            return self.opt["lr"]
-        return max(self.opt["min_lr"], self.opt["lr"] * (1 - self.epoch / max(1, self.opt["num_iters"])))
+    def _pair_loss(self) -> Column:
+        """Of a joined sample (p, q, n, bq, bn)."""
+        return softplus_minus(dot("p", _minus("q", "n")) + F.col("bq") - F.col("bn"))
+
+    def sampled_loss(self) -> float | None:
+        """The mean loss of ``loss_samples``, which are drawn once; asked for by ``compute_loss_on_training``."""
+        if not hasattr(self, "_watched"):
+            self._watched = self.keep(self.loss_samples())
+        return self._joined(self._watched).agg(F.avg(self._pair_loss())).first()[0] or 0.0
 
     def loss_samples(self, n: int | None = None) -> DataFrame:
         """u, i, j: a positive and an unseen item of the root of the number of users (or ``n``), for watching the loss."""
@@ -164,16 +200,57 @@ class Gradient(Model):
         return self._unseen(some, 0, 1).select("u", "i", "j")
 
 
+def bpr_updates(p: grid.Block, q: grid.Block, a: np.ndarray, i: np.ndarray, j: np.ndarray, rate: float, opt: dict) -> float:
+    """Moves user a towards item i and away from j for one sample after the other; the sum of log(1 + e**-x) before each."""
+    total = 0.0
+    for some in grid.by_level(grid.levels(a, [i, j], len(p.ids), len(q.ids))):
+        u, good, bad = a[some], i[some], j[some]
+        own, apart = p.vec[u], q.vec[good] - q.vec[bad]
+        x = np.einsum("nd,nd->n", own, apart)
+        if opt["use_bias"]:
+            x += q.bias[good] - q.bias[bad]
+        w = np.where(x > 6, 0.0, np.where(x < -6, 1.0, 1 / (1 + np.exp(np.clip(x, -30, 30)))))
+        total += np.logaddexp(0.0, -x).sum()
+        p.vec[u] = own + rate * (w[:, None] * apart - opt["reg_u"] * own)
+        for name, at, to in (("i", good, w), ("j", bad, -w)):
+            if opt[f"update_{name}"]:
+                q.vec[at] += rate * (to[:, None] * own - opt[f"reg_{name}"] * q.vec[at])
+                if opt["use_bias"]:
+                    q.bias[at] += rate * (to - opt["reg_b"] * q.bias[at])
+    return float(total)
+
+
+def bpr_samples(q: grid.Block, a: np.ndarray, b: np.ndarray, seed: tuple, opt: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Users, items and others of a stratum in random order: the others are of the same block of items."""
+    rng, n = np.random.default_rng(seed), opt["num_negative_samples"]
+    if opt["verify_neg"]:
+        who, j = grid.unseen(a, b, q.w, n, rng)
+    elif q.w.sum():
+        who = np.repeat(np.arange(len(a)), n)
+        j = np.searchsorted(np.cumsum(q.w), rng.integers(0, q.w.sum(), len(who)), "right")
+    else:
+        who = j = np.zeros(0, np.int64)
+    order = rng.permutation(len(who))
+    return a[who[order]], b[who[order]], j[order]
+
+
 class BPRMF(Gradient):
-    #: Options with their defaults.
+    """With sgd, an epoch draws a positive's others from the block of items that it is in; blocks are dealt anew each epoch.
+
+    A user that has all items of a block draws nothing there until the next dealing.
+    """
+
+    _n_blocks: int | None = None
+
+    #: Options with their defaults, but for ``compute_loss_on_training``: the epoch's own mean loss costs nothing.
     DEFAULTS = {
-        "num_iters": 100, "lr": 0.002, "min_lr": 0.0001, "update_i": True, "update_j": True, "reg_u": 0.025, "reg_i": 0.025, "reg_j": 0.025, "reg_b": 0.025, "use_bias": True, "optimizer": "sgd",
+        "compute_loss_on_training": False, "num_iters": 100, "lr": 0.002, "min_lr": 0.0001, "update_i": True, "update_j": True, "reg_u": 0.025, "reg_i": 0.025, "reg_j": 0.025, "reg_b": 0.025, "use_bias": True, "optimizer": "sgd",
         "num_negative_samples": 1, "sampling_power": 0.0, "verify_neg": True, "beta1": 0.9, "beta2": 0.999, "per_coordinate_normalize": False,
     }
 
     def initialize(self, rows: DataFrame, items: DataFrame | None = None) -> "BPRMF":
         self._interactions(rows, items, self.opt["sampling_power"])
-        self._start({"P": self.rows.select(F.col("u").alias("id")).distinct(), "Q": self.item_ids}, True, 1 / self.opt["d"])
+        self._start({"P": self.pairs.select(F.col("u").alias("id")).distinct(), "Q": self.item_ids}, True, 1 / self.opt["d"])
         return self
 
     def negatives(self) -> DataFrame:
@@ -184,22 +261,33 @@ class BPRMF(Gradient):
         drawn = self.rows.select("row", "u", "i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"))
         return self._at(drawn.withColumn("y", self._random(F.lit(self.mass)))).select("u", "i", "j")
 
+    @property
+    def n_blocks(self) -> int:
+        partitions = int(self.pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self._n_blocks or grid.blocks(self.n_rows, self.n_users, self.n_held, self.opt["d"], partitions)
+
     def step(self) -> float:
         """One pass over all positives; mean log(1 + e**-x) before the step."""
-        opt, sgd = self.opt, self.opt["optimizer"] == "sgd"
+        if self.sequential:
+            opt, rates, seed = dict(self.opt), self._rates(self.n_blocks), (self.opt["random_seed"], self.epoch)
+
+            def run(stage: int, task: int, p: grid.Block, q: grid.Block, a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
+                a, i, j = bpr_samples(q, a, b, (*seed, stage, task), opt)
+                return bpr_updates(p, q, a, i, j, rates[stage], opt), len(a)
+
+            return self._rotate("P", "Q", self.weights if opt["sampling_power"] else None, self.pairs, ("u", "i"), self.n_blocks, run)
+        opt = self.opt
         x = dot("p", _minus("q", "n")) + F.col("bq") - F.col("bn")
         at = self._joined(self.negatives()).withColumn("x", x).withColumn("w", sigmoid_minus("x"))
         w = F.col("w")
         parts = [("P", F.col("u"), _scaled(_minus("q", "n"), w), F.lit(0.0), 0)]
-        # for sgd each sample regularises what it moves, else each step does
         if opt["update_i"]:
-            parts.append(("Q", F.col("i"), _scaled("p", w), w, opt["reg_i"] if sgd else 0))
+            parts.append(("Q", F.col("i"), _scaled("p", w), w, 0))
         if opt["update_j"]:
-            parts.append(("Q", F.col("j"), _scaled("p", -w), -w, opt["reg_j"] if sgd else 0))
+            parts.append(("Q", F.col("j"), _scaled("p", -w), -w, 0))
         sums, loss = self._summed(at, parts, softplus_minus("x"))
-        rate = self._rate()
-        self._apply("P", sums, rate, opt["reg_u"])
-        self._apply("Q", sums, rate, 0.0 if sgd else opt["reg_i"])
+        self._apply("P", sums, opt["lr"], opt["reg_u"])
+        self._apply("Q", sums, opt["lr"], opt["reg_i"])
         self.epoch += 1
         return loss
 
@@ -212,9 +300,9 @@ SCORES = {
 
 
 class WARP(Gradient):
-    #: Options with their defaults; ``trials_at_once`` is the size of the first round of trials.
+    #: Options with their defaults, but for ``compute_loss_on_training``; ``trials_at_once`` is the size of the first round of trials.
     DEFAULTS = {
-        "d": 64, "num_iters": 40, "lr": 0.05, "min_lr": 0.0001, "optimizer": "adagrad", "threshold": 1.0, "max_trials": 500, "score_func": "dot", "update_i": True, "update_j": True,
+        "compute_loss_on_training": False, "d": 64, "num_iters": 40, "lr": 0.05, "min_lr": 0.0001, "optimizer": "adagrad", "threshold": 1.0, "max_trials": 500, "score_func": "dot", "update_i": True, "update_j": True,
         "reg_u": 0.0, "reg_i": 0.0, "reg_j": 0.0, "beta1": 0.9, "beta2": 0.999, "per_coordinate_normalize": False, "trials_at_once": 16,
     }
 
@@ -222,7 +310,7 @@ class WARP(Gradient):
         if self.opt["optimizer"] not in ("adagrad", "adam") or self.opt["score_func"].lower() not in SCORES:
             raise ValueError(f"WARP takes adagrad or adam, and a score of {', '.join(SCORES)}")
         self._interactions(rows, items, 0.0)
-        self._start({"P": self.rows.select(F.col("u").alias("id")).distinct(), "Q": self.item_ids}, False, 1 / self.opt["d"])
+        self._start({"P": self.pairs.select(F.col("u").alias("id")).distinct(), "Q": self.item_ids}, False, 1 / self.opt["d"])
         return self
 
     def violations(self) -> DataFrame:
@@ -246,9 +334,9 @@ class WARP(Gradient):
 
     def step(self) -> float:
         """One pass over all positives; the share of those with a violation."""
-        opt, (_, user, item, other) = self.opt, SCORES[self.opt["score_func"].lower()]
+        opt, (_, user, item, other), hits = self.opt, SCORES[self.opt["score_func"].lower()], self.violations()
         rank = F.log(F.greatest(F.lit(1), F.floor((self.n_items - F.col("width") - 1) / (F.col("t") + 1))))
-        at = self._joined(self.violations()).withColumn("phi", rank.cast("double"))
+        at = self._joined(hits).withColumn("phi", rank.cast("double"))
         phi, zero = F.col("phi"), F.lit(0.0)
         parts = [("P", F.col("u"), user("p", "q", "n", phi), zero, opt["reg_u"])]
         if opt["update_i"]:
@@ -262,52 +350,87 @@ class WARP(Gradient):
         violated = sums.where("name = 'loss'").agg(F.sum("n")).first()[0] or 0
         return violated / max(1, self.n_rows)
 
+    def _pair_loss(self) -> Column:
+        return F.greatest(F.lit(0.0), self.opt["threshold"] - SCORES[self.opt["score_func"].lower()][0]("p", "q", "n"))
+
     def most_similar(self, items, k=10, group="Q", metric=None, pool=None):
         return super().most_similar(items, k, group, metric or ("l2" if self.opt["score_func"].lower() == "l2" else "cosine"), pool)
 
 
+#: Pairs that read vectors together.
+BATCH = 128
+
+
+def skipgram_updates(inner: grid.Block, outer: grid.Block, context: np.ndarray, centre: np.ndarray, others: np.ndarray | None, rate: float) -> float:
+    """Moves contexts' inner vectors towards their centres' outer ones and away from the others'; the sum of losses.
+
+    Frequent words are in nearly all samples, so plain order would leave nothing to run together: ``BATCH`` pairs at a time move
+    what they share by the sum of their steps.
+    """
+    d, total = inner.vec.shape[1], 0.0
+    places, labels = np.arange(d), np.zeros(1 if others is None else 1 + others.shape[1])
+    labels[0] = 1.0
+    words = centre[:, None] if others is None else np.concatenate([centre[:, None], others], 1)
+    flat, moved = outer.vec.reshape(-1), inner.vec.reshape(-1)
+    for at in range(0, len(context), BATCH):
+        who, what = context[at : at + BATCH], words[at : at + BATCH]
+        own, there = inner.vec[who], outer.vec[what]
+        x = np.einsum("nd,nkd->nk", own, there)
+        total += np.logaddexp(0.0, np.where(labels > 0, -x, x)).sum()
+        g = rate * (labels - np.where(x > 6, 1.0, np.where(x < -6, 0.0, 1 / (1 + np.exp(-np.clip(x, -30, 30))))))
+        np.add.at(flat, (what[:, :, None] * d + places).ravel(), (g[:, :, None] * own[:, None]).ravel())
+        np.add.at(moved, (who[:, None] * d + places).ravel(), np.einsum("nk,nkd->nd", g, there).ravel())
+    return float(total)
+
+
 class W2V(Gradient):
-    """Skip-gram with negative sampling over a stream (u, pos, token)."""
+    """Skip-gram with negative sampling over a stream (u, pos, token): ``Q`` inner vectors of words, ``L1`` outer ones.
 
-    DEFAULTS = {"num_iters": 3, "window": 5, "min_count": 5, "sample": 1e-3, "num_negative_samples": 5, "lr": 0.05, "min_lr": 0.0001, "optimizer": "adagrad", "beta1": 0.9, "beta2": 0.999}
+    Others are drawn by count ** 0.75 from the block of words that the centre is in; blocks are dealt anew each epoch.
+    """
+
+    #: Options with their defaults.
+    DEFAULTS = {"num_iters": 3, "window": 5, "min_count": 5, "sample": 1e-3, "num_negative_samples": 5, "lr": 0.025, "min_lr": 0.0001}
 
     def initialize(self, stream: DataFrame) -> "W2V":
         vocab = words.numbered(words.vocabulary(stream, self.opt["min_count"], self.opt["sample"]))
         self.ids["vocab"] = self.keep(vocab.select("token", "n", "keep", F.col("vid").cast("long").alias("id")))
-        at = stream.join(self.ids["vocab"], "token").select("u", "pos", "id", "keep")
-        self.stream = self.keep(at)
+        self.stream = self.keep(stream.join(self.ids["vocab"], "token").select("u", "pos", "id", "keep"))
         self._start({"Q": self.ids["vocab"].select("id"), "L1": self.ids["vocab"].select("id")}, True, 1 / self.opt["d"] ** 2)
         self.factors["L1"] = self.keep(self.factors["L1"].withColumn("vec", F.array_repeat(F.lit(0.0), self.opt["d"])), "L1")
-        noise = words.noise(vocab).join(self.ids["vocab"].select("token", "id"), "token")
-        self._place(noise.select("id", F.greatest(F.lit(1), F.round(F.col("p") * MASS)).cast("long").alias("w")))
+        facts = self.ids["vocab"].agg(F.coalesce(F.sum(F.pow("n", F.lit(0.75))), F.lit(0.0)).alias("mass"), F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+        self.weights = self.keep(self.ids["vocab"].select("id", F.greatest(F.lit(1), F.round(F.pow("n", F.lit(0.75)) * (MASS / max(facts.mass, 1.0)))).cast("long").alias("w")))
+        partitions = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.n_blocks = grid.blocks(facts.tokens * self.opt["window"], facts.words, facts.words, self.opt["d"], partitions)
         return self
 
+    def sampled_loss(self) -> None:
+        """The epoch's own mean loss is all there is."""
+
     def index(self, tokens: DataFrame) -> DataFrame:
         """token, id; id null for words out of the vocabulary."""
         return tokens.join(self.ids["vocab"].select("token", "id"), "token", "left")
 
-    def step(self) -> float:
+    def window_pairs(self) -> DataFrame:
+        """u (a context), i (its centre) of an epoch: words that subsampling keeps, within a reach that is drawn for each centre."""
         w, seed = self.opt["window"], self.opt["random_seed"]
         kept = self.stream.where(_uniform("u", "pos", F.lit(self.epoch), F.lit(seed)) < F.col("keep"))
-        order = Window.partitionBy("u").orderBy("pos")
         reach = w - F.floor(_uniform("u", "pos", F.lit(self.epoch), F.lit(seed + 1)) * w)
-        near = F.array(*[F.struct(F.lit(abs(k)).alias("far"), F.lead("id", k).over(order).alias("c")) for k in range(-w, w + 1) if k])
-        pairs = kept.select("u", "pos", F.col("id").alias("i"), reach.alias("reach"), near.alias("near")).select("u", "pos", "i", "reach", F.explode("near").alias("x"))
-        pairs = pairs.where("x.c IS NOT NULL AND x.far <= reach").select(F.col("x.c").alias("u"), "i", F.xxhash64("u", "pos", "x.far", "x.c").alias("row"))
-        pairs = pairs.select("row", "u", "i", F.explode(F.sequence(F.lit(0), F.lit(self.opt["num_negative_samples"]))).alias("t"))
-        good = pairs.where("t = 0").select("u", F.col("i").alias("j"), F.lit(1.0).alias("label"))
-        bad = self._at(pairs.where("t > 0").withColumn("y", self._random(F.lit(self.mass), 7))).where("j <> i").select("u", "j", F.lit(0.0).alias("label"))
-        a = self.factors["Q"].select(F.col("id").alias("u"), F.col("vec").alias("a"))
-        b = self.factors["L1"].select(F.col("id").alias("j"), F.col("vec").alias("b"))
-        at = good.unionByName(bad).join(a, "u").join(b, "j").withColumn("x", dot("a", "b"))
-        at = at.withColumn("w", F.col("label") - (1 - sigmoid_minus("x")))
-        parts = [("Q", F.col("u"), _scaled("b", F.col("w")), F.lit(0.0), 0), ("L1", F.col("j"), _scaled("a", F.col("w")), F.lit(0.0), 0)]
-        sums, loss = self._summed(at, parts, F.log1p(F.exp(-(2 * F.col("label") - 1) * F.col("x"))))
-        rate = self._rate()
-        self._apply("Q", sums, rate, 0.0)
-        self._apply("L1", sums, rate, 0.0)
-        self.epoch += 1
-        return loss
+        near = words.following(kept.withColumn("reach", reach), w, ("id", "reach"))
+        ways = [F.when(F.col("far") <= F.col(f"{centre}.reach"), F.struct(F.col(f"{context}.id").alias("u"), F.col(f"{centre}.id").alias("i"))) for centre, context in ("ab", "ba")]
+        return near.select(F.explode(F.array_compact(F.array(*ways))).alias("x")).select("x.*")
+
+    def step(self) -> float:
+        """One pass over the stream; the mean loss of pairs before they move vectors."""
+        rates, seed, times = self._rates(self.n_blocks), (self.opt["random_seed"], self.epoch), self.opt["num_negative_samples"]
+
+        def run(stage: int, task: int, inner: grid.Block, outer: grid.Block, a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
+            rng = np.random.default_rng((*seed, stage, task))
+            order = rng.permutation(len(a))
+            a, b = a[order], b[order]
+            return skipgram_updates(inner, outer, a, b, grid.others(b, outer.w, times, rng), rates[stage]), len(a)
+
+        return self._rotate("Q", "L1", self.weights, self.window_pairs(), ("u", "i"), self.n_blocks, run)
 
     def topk_recommendation(self, users, k=10, pool=None, seen=None):
         raise NotImplementedError("item embeddings have no users")

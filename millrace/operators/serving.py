@@ -1,10 +1,15 @@
 """Top-k recommendation and similarity over factor tables (id, vec, optional bias)."""
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.work import written
+
 METRICS = ("dot", "cosine", "l2")
 
 
@@ -38,65 +43,202 @@ def _margin(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return 1e-13 * q.shape[1] * size
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot", skip_self: bool = False, pool: DataFrame | None = None, seen: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+_KINDS = {"int": pa.int32(), "string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+_schema = lambda ddl: pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ddl.split(", ")])
+PACKED = "block long, ids binary, vec binary, bias binary, norm double, top double"
+ROUTED = "task int, kind string, item long, block long, ids binary, vec binary, bias binary, least binary"
+_PACKED, _ROUTED, _FOUND = _schema(PACKED), _schema(ROUTED), _schema("q long, id long, score double")
+#: Query blocks that meet an item block in one task, and the most tasks of a search.
+TOGETHER, TASKS = 16, 20_000
+
+
+def _packed(t: DataFrame, rows: int | None, by_norm: bool) -> DataFrame:
+    """Vectors (id, vec, bias) in blocks of one row each, as they stand in partitions, by falling norm or not.
+
+    norm and top: the largest norm and bias of a block. Blocks are so small that two have at most 256 MB of scores.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (found := [b for b in batches if b.num_rows]):
+            return
+        t = pa.Table.from_batches(found)
+        ids, bias, d = t["id"].to_numpy(), t["bias"].to_numpy(), len(t["vec"][0])
+        vec = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        norm, size = np.sqrt((vec * vec).sum(1)), rows or max(256, min((64 << 20) // (8 * max(1, d)), 5792))  # 5792 ** 2 scores are 256 MB
+        order = np.lexsort((ids, -norm)) if by_norm else np.arange(len(ids))
+        for k in range(0, len(ids), size):
+            at = order[k : k + size]
+            at = at[np.argsort(ids[at], kind="stable")]
+            row = (TaskContext.get().partitionId() << 32) + k // size, ids[at].tobytes(), vec[at].tobytes(), bias[at].tobytes(), norm[at].max(), bias[at].max()
+            yield pa.RecordBatch.from_pylist([dict(zip(_PACKED.names, row, strict=True))], _PACKED)
+
+    return t.mapInArrow(pack, PACKED)
+
+
+class _Side:
+    """A block in a task; least: what a query's scores must reach, from blocks that it has met."""
+
+    def __init__(self, row: dict, prefix: str = ""):
+        self.ids, self.bias, self.least = (np.frombuffer(row.get(prefix + c) or b"", kind) for c, kind in (("ids", np.int64), ("bias", np.float64), ("least", np.float64)))
+        self.vec = np.frombuffer(row[f"{prefix}vec"] or b"").reshape(len(self.ids), -1)
+
+
+def _best(q: _Side, x: _Side, k: int, metric: str, skip_self: bool, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, rows of x and exact scores of what can be among the k best of a query, by query and rank; seen: (q, id) left out."""
+    bias = q.bias[:, None] + x.bias[None]
+    s = _block_scores(q.vec, x.vec, metric) + bias
+    if skip_self:
+        at = np.minimum(np.searchsorted(x.ids, q.ids), len(x.ids) - 1)
+        there = np.flatnonzero(x.ids[at] == q.ids)
+        s[there, at[there]] = -np.inf
+    if seen is not None:
+        order = np.argsort(q.ids, kind="stable")
+        row, col = (np.minimum(np.searchsorted(ids, ask), len(ids) - 1) for ids, ask in ((q.ids[order], seen[0]), (x.ids, seen[1])))
+        row = order[row]
+        there = (q.ids[row] == seen[0]) & (x.ids[col] == seen[1])
+        s[row[there], col[there]] = -np.inf
+    m = min(k, len(x.ids))
+    margin = _margin(q.vec, x.vec, metric) + 1e-13 * np.abs(bias).max()
+    least = q.least - margin if len(q.least) else np.full(len(q.ids), -np.inf)
+    many = np.flatnonzero((s >= least[:, None]).sum(1) > m)  # only these need their k-th best here
+    if len(many):
+        least[many] = np.maximum(least[many], -np.partition(-s[many], m - 1, axis=1)[:, m - 1] - margin[many])
+    row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    score = np.concatenate([np.zeros(0), *(_exact(q.vec[row[n : n + 1_000_000]], x.vec[col[n : n + 1_000_000]], metric) for n in range(0, len(row), 1_000_000))]) + bias[row, col]
+    order = np.lexsort((x.ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < m
+    return row[kept], col[kept], score[kept]
+
+
+def _routed(task: int, kind: str, item: int | None, block: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    """A row on its way: results (T), pairs left out (A), an item block (I) or queries (Q)."""
+    return pa.RecordBatch.from_pylist([dict(zip(_ROUTED.names, (task, kind, item, block, *(x.tobytes() for x in arrays)), strict=False))], _ROUTED)
+
+
+def _pairs(a: bytes | None, b: bytes | None) -> np.ndarray | None:
+    return None if a is None else np.stack([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)])
+
+
+def _left_out(seen: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """block (of queries), item, s_ids, s_vec: pairs left out, packed where both sides are."""
+
+    def places(name: str) -> Callable:
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ids = np.frombuffer(row["ids"], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), row["block"]))], [name, f"{name}_block"])
+
+        return unpack
+
+    def pack(keys: tuple, t: pa.Table) -> pa.Table:
+        row = keys[0].as_py(), keys[1].as_py(), t["q"].to_numpy().tobytes(), t["id"].to_numpy().tobytes()
+        return pa.Table.from_pylist([dict(zip(("block", "item", "s_ids", "s_vec"), row, strict=True))])
+
+    asked, held = (side.select("block", "ids").mapInArrow(places(name), f"{name} long, {name}_block long") for side, name in ((queries, "q"), (items, "id")))
+    rows = seen.select(F.col("q").cast("long"), F.col("id").cast("long")).join(asked, "q").join(held, "id")
+    return rows.groupBy("q_block", "id_block").applyInArrow(pack, "block long, item long, s_ids binary, s_vec binary")
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot", skip_self: bool = False, pool: DataFrame | None = None, seen: DataFrame | None = None, rows: int | None = None, scored=None) -> DataFrame:
     """q, rank (from 1), id, score: the k best items of each query, ties to the smaller id.
 
-    queries: id, vec, optional bias; items: the same; pool: id; seen: q, id pairs left out.
-    Both sides are cut into blocks of ``rows`` (by default so that 64 MB of vectors are in a block and
-    256 MB of scores between two); a task multiplies two blocks, scores once more in a fixed order what could be
-    among the k best of a query, and keeps these, so no side is broadcast and shuffles carry blocks, then k rows for each
-    block. Scores are ranked as they are, not rounded. l2 ranks by squared distance and returns the distance.
+    queries: id, vec, optional bias; items: the same; pool: id; seen: q, id pairs left out; scored: an accumulator that
+    counts the pairs of queries and items whose score was computed.
+
+    Both sides are packed into blocks of ``rows`` vectors, items by falling norm. For dot products queries meet the block of
+    the longest items first; what their k-th best reaches there is more than the product of norms allows in most other blocks
+    if norms differ, and only queries for which it isn't go on to a block. A task multiplies blocks, scores once more in a fixed
+    order what could be among the k best of a query, and keeps these, so no side is broadcast and shuffles carry blocks, then k
+    rows for each block at most. Scores are ranked as they are, not rounded. l2 ranks by squared distance and returns the
+    distance. The driver gets number, norm and bias of each block.
     """
     if metric not in METRICS or k < 1:
         raise ValueError(f"metric {metric!r}, k {k}")
+    spark = queries.sparkSession
     if pool is not None:
         items = items.join(pool.select("id").distinct(), "id", "left_semi")
-    q = queries.select(F.col("id").alias("q"), F.col("vec").alias("qvec"), (F.col("bias") if "bias" in queries.columns else F.lit(0.0)).cast("double").alias("qbias"))
-    x = items.select("id", "vec", (F.col("bias") if "bias" in items.columns else F.lit(0.0)).cast("double").alias("bias"))
-    sizes = [t.agg(F.count("*").alias("n"), F.max(F.size(v)).alias("d")).first() for t, v in ((q, "qvec"), (x, "vec"))]
-    if rows is None:
-        d = max(1, *(s.d or 1 for s in sizes))
-        rows = max(256, min((64 << 20) // (8 * d), 5792))  # 5792 ** 2 scores are 256 MB
-    n_q, n_x = (max(1, -(-s.n // rows)) for s in sizes)
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumns({"qb": F.pmod(F.hash("q"), F.lit(n_q))}).withColumn("xb", blocks(n_x)).withColumn("skip", F.lit(None).cast("long"))
-    if seen is not None:  # each goes to its own item's block only
-        seen = seen.select(F.col("q").cast(q.schema["q"].dataType), F.col("id").cast("long"))
-        skip = seen.select("q", F.col("id").alias("skip"), F.pmod(F.hash("q"), F.lit(n_q)).alias("qb"), F.pmod(F.hash(F.col("id").cast(x.schema["id"].dataType)), F.lit(n_x)).alias("xb"))
-        left = left.unionByName(skip.join(q.select("q"), "q", "left_semi"), allowMissingColumns=True)
-    x = x.withColumns({"xb": F.pmod(F.hash("id"), F.lit(n_x))}).withColumn("qb", blocks(n_q))
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"q": [], "id": [], "score": []})
-        asked = left[left["qvec"].notna()]
-        if not len(asked) or not len(right):
-            return out
-        right = right.sort_values("id")
-        ids, who = right["id"].to_numpy(), asked["q"].to_numpy()
-        a, b = np.stack(asked["qvec"]).astype(float), np.stack(right["vec"]).astype(float)
-        bias = asked["qbias"].to_numpy()[:, None] + right["bias"].to_numpy()[None]
-        s = _block_scores(a, b, metric) + bias
-        if skip_self:
-            s[who[:, None] == ids[None]] = -np.inf
-        skipped = left[left["skip"].notna()]
-        if len(skipped):
-            hers, item = skipped["q"].to_numpy(), skipped["skip"].to_numpy().astype(ids.dtype)
-            order = np.argsort(who, kind="stable")
-            row, col = np.searchsorted(who, hers, sorter=order), np.searchsorted(ids, item)
-            row, col = order[np.minimum(row, len(who) - 1)], np.minimum(col, len(ids) - 1)
-            there = (who[row] == hers) & (ids[col] == item)
-            s[row[there], col[there]] = -np.inf
-        m = min(k, len(ids))
-        last = -np.partition(-s, m - 1, axis=1)[:, m - 1] - _margin(a, b, metric) - 1e-13 * np.abs(bias).max()
-        row, col = np.nonzero((s >= last[:, None]) & np.isfinite(s))
-        score = np.concatenate([np.zeros(0), *(_exact(a[row[n : n + 1_000_000]], b[col[n : n + 1_000_000]], metric) for n in range(0, len(row), 1_000_000))]) + bias[row, col]
-        order = np.lexsort((col, -score, row))
-        row, col, score = row[order], col[order], score[order]
-        first = np.searchsorted(row, np.arange(len(who)))
-        kept = np.arange(len(row)) - first[row] < m
-        return pd.DataFrame({"q": who[row[kept]], "id": ids[col[kept]], "score": score[kept]})
-
-    found = left.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(block, "q long, id long, score double")
+    sides = [t.select(F.col("id").cast("long"), F.col("vec").cast("array<double>"), (F.col("bias") if "bias" in t.columns else F.lit(0.0)).cast("double").alias("bias")) for t in (queries, items)]
+    q, x = (written(_packed(t, rows, by_norm), "packed")[0] for t, by_norm in zip(sides, (False, True), strict=True))
+    facts = sorted((r.norm, r.top, r.block) for r in x.select("norm", "top", "block").collect())[::-1]  # a row for each block of items
+    norms, tops, blocks = (np.array([f[i] for f in facts], kind) for i, kind in enumerate((float, float, np.int64)))
+    n_q, n_x, parts = q.count(), len(facts), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(n_q, max(-(-n_q // TOGETHER), -(-2 * parts // max(1, n_x)))))
+    n_tasks, number = min(TASKS, max(1, n_x * groups)), {int(b): at for at, b in enumerate(blocks)}
+    rounds = metric == "dot" and n_x > 1
+
+    def task(item: int, block: int) -> int:
+        return (number[item] * groups + ((block & 0xFFFFFFFF) + (block >> 32)) % groups) % n_tasks
+
+    def count(side: _Side, held: _Side) -> None:
+        if scored is not None:
+            scored.add(len(side.ids) * len(held.ids))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What queries find in the first block, and for each other one those that it can matter to."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                side = _Side(row)
+                least = np.full(len(side.ids), -np.inf)
+                if rounds:
+                    held = _Side(row, "x_")
+                    at, col, score = _best(side, held, k, metric, skip_self, _pairs(row["s_ids"], row["s_vec"]))
+                    count(side, held)
+                    full = np.bincount(at, minlength=len(least)) >= k
+                    least[full] = score[np.searchsorted(at, np.flatnonzero(full), "right") - 1]
+                    yield _routed(row["block"] % n_tasks, "T", None, row["block"], side.ids[at], held.ids[col], score)
+                length = np.sqrt((side.vec * side.vec).sum(1))
+                for at in range(int(rounds), n_x):
+                    bound = length * norms[at] + side.bias + tops[at] if rounds else np.full(len(least), np.inf)
+                    some = np.flatnonzero(bound + 1e-9 * (np.abs(bound) + 1) >= least)
+                    if len(some):
+                        item = int(blocks[at])
+                        yield _routed(task(item, row["block"]), "Q", item, row["block"], side.ids[some], side.vec[some], side.bias[some], least[some])
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An item block for each task that its queries go to."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                held = _Side(row)
+                for to in sorted({(number[row["block"]] * groups + g) % n_tasks for g in range(groups)}):
+                    yield _routed(to, "I", row["block"], row["block"], held.ids, held.vec, held.bias)
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _routed(task(row["item"], row["block"]), "A", row["item"], row["block"], *_pairs(row["s_ids"], row["s_vec"]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each item block in turn pairs left out, the items, then queries; results of the first block pass."""
+        item, held, out = None, None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == "T":
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], t)) for c, t in (("ids", np.int64), ("vec", np.int64), ("bias", np.float64))], schema=_FOUND)
+                    continue
+                if row["item"] != item:
+                    item, held, out = row["item"], None, {}
+                if row["kind"] == "A":
+                    out[row["block"]] = _pairs(row["ids"], row["vec"])
+                elif row["kind"] == "I":
+                    held = _Side(row)
+                else:
+                    side = _Side(row)
+                    at, col, score = _best(side, held, k, metric, skip_self, out.get(row["block"]))
+                    count(side, held)
+                    yield pa.RecordBatch.from_arrays([pa.array(side.ids[at]), pa.array(held.ids[col]), pa.array(score)], schema=_FOUND)
+
+    out, asked = written(_left_out(seen, q, x), "seen")[0] if seen is not None else None, q
+    if rounds:
+        first = int(blocks[0])
+        asked = asked.crossJoin(F.broadcast(x.where(F.col("block") == first).select(*[F.col(c).alias(f"x_{c}") for c in ("ids", "vec", "bias")])))  # one row of at most 64 MB
+        none = [F.lit(None).cast("binary").alias(c) for c in ("s_ids", "s_vec")]
+        asked = asked.join(out.where(F.col("item") == first).drop("item"), "block", "left") if out is not None else asked.select("*", *none)
+    moving = asked.mapInArrow(ask, ROUTED).unionByName(x.mapInArrow(copy, ROUTED))
+    if out is not None:
+        moving = moving.unionByName(out.mapInArrow(leave, ROUTED))
+    found = moving.repartitionById(n_tasks, "task").sortWithinPartitions("item", "kind").mapInArrow(search, "q long, id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     score = -F.col("score") if metric == "l2" else F.col("score")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

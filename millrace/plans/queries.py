@@ -500,7 +500,7 @@ def cfr_item_normal_eq(spark, sf_dir):
     pairs = words.shifted_pmi(words.cooccurrence(basket_stream(spark, sf_dir)))
     blocks = Blocks(pairs, "w", "c")
     own = blocks.mine.select("id").distinct().withColumn("vec", F.array_repeat(F.lit(0.0), D))
-    cells = steps.equation_cells(blocks.found(own, fixed_factors(pairs, "c", "q"), D, lambda v, extra, mine, far: (v * 0 + 1, v, v)), D)
+    cells = steps.equation_cells(blocks.found(own, fixed_factors(pairs, "c", "q"), D, lambda v, extra, mine, far: (v * 0 + 1, v, v)), D, blocks.split)
     return rounded(cells.withColumnRenamed("id", "i"), "lhs", "rhs")
 
 

@@ -33,10 +33,10 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows of ``df`` from a table in the shared folder, and its path."""
+def written(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """The rows of ``df`` from a table in the shared folder, in folders ``by`` a column if given, and its path."""
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -5,9 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.models.alternating import ALS, CFR, EALS, SOLVERS, solve
 from millrace.models.base import EarlyStopping, options
-from millrace.models.gradient import BPRMF, W2V, WARP
+from millrace.models.gradient import BPRMF, W2V, WARP, _uniform, bpr_samples
 from millrace.models.plsi import PLSI
-from millrace.operators import blocks
+from millrace.operators import blocks, grid, words
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +31,11 @@ def test_options():
             options({"reg": 0.1}, wrong)
     with pytest.raises(RuntimeError):
         ALS({"reg_j": 0.1})
-    assert options({"reg": 0.1}, {"num_workers": 4, "accelerator": False})["reg"] == 0.1
+    for refused in ("accelerator", "inherit_opt", "random_positive"):
+        with pytest.raises(RuntimeError):
+            BPRMF({refused: {"model_path": "x"}})
+    assert options({"reg": 0.1}, {"num_workers": 4, "accelerator": False, "inherit_opt": None})["reg"] == 0.1
+    assert W2V().opt["lr"] == 0.025 and ALS({"d": 128, "optimizer": "llt"}).opt["optimizer"] == "llt"
     assert BPRMF({"reg_j": 9.9, "reg_b": 0.0, "update_i": False}).opt["reg_j"] == 9.9 and BPRMF().opt["lr"] == 0.002
     assert WARP({"reg_u": 0.1, "min_lr": 0.0, "eps": 1e-8}).opt["max_trials"] == 500
 
@@ -162,24 +168,137 @@ def test_plsi_epoch_against_numpy(spark, planted):
         assert np.allclose(x, (counts["i", i] + 1 / len(q)) / total)
 
 
-def test_bpr_epoch_against_numpy(spark, planted):
-    """One step of plain gradients from the triples that the epoch draws."""
-    model = BPRMF({"d": 4, "lr": 0.1, "reg_j": 0.5, "num_iters": 10}).initialize(planted)
-    triples = [(r.u, r.i, r.j) for r in model.negatives().collect()]
-    p, q = arrays(model, "P"), arrays(model, "Q")
-    own, held = {(r.u, r.i) for r in planted.collect()}, {}
-    assert len(triples) == len(own) and not [t for t in triples if (t[0], t[2]) in own]
-    for u, i, j in triples:
-        x = p[u] @ (q[i] - q[j])
-        w = 0.0 if x > 6 else 1.0 if x < -6 else 1 / (1 + np.exp(x))
-        for key, g, r in ((("P", u), w * (q[i] - q[j]), 0.025), (("Q", i), w * p[u], 0.025), (("Q", j), -w * p[u], 0.5)):
-            held.setdefault(key, []).append((g, r))
-    model.step()
-    for name, old in (("P", p), ("Q", q)):
-        for k, x in arrays(model, name).items():
-            gs = held.get((name, k))
-            want = old[k] + 0.1 * (sum(g for g, _ in gs) / np.sqrt(len(gs)) - sum(r for _, r in gs) / len(gs) * old[k]) if gs else old[k]
-            assert np.allclose(x, want)
+def replayed(model, first, second, weights, samples, n, loop):
+    """An epoch over blocks by plain loops: ``loop(stage, task, first, second, a, b)`` over the samples of each stratum in turn."""
+    seed, spark = model.opt["random_seed"], samples.sparkSession
+    tables, blocks = {}, {}
+    for name, salt in ((first, (seed,)), (second, (seed, model.epoch + 1))):
+        tables[name] = {r.id: (np.array(r.vec), r.bias) for r in model.factors[name].collect()}
+        ids = spark.createDataFrame([(i,) for i in tables[name]], "id long")
+        blocks[name] = {r.id: r.b for r in ids.select("id", grid.dealt("id", n, *salt).alias("b")).collect()}
+    w = {r.id: r.w for r in weights.collect()}
+    make = lambda name, b: [i for i in sorted(tables[name]) if blocks[name][i] == b]
+    held = {(name, b): grid.Block(np.array(ids, np.int64), np.array([tables[name][i][0] for i in ids]), np.array([tables[name][i][1] for i in ids]), np.array([w.get(i, 0) for i in ids])) for name in (first, second) for b in range(n) if (ids := make(name, b))}
+    rows = sorted((r.u, r.i) for r in samples.select("u", "i").collect())
+    for stage in range(n):
+        for task in range(n):
+            other = (task + stage) % n
+            some = [(u, i) for u, i in rows if blocks[first][u] == task and blocks[second][i] == other]
+            if some:
+                p, q = held[first, task], held[second, other]
+                a, b = (np.searchsorted(t.ids, np.array(x)) for t, x in zip((p, q), zip(*some, strict=True), strict=True))
+                loop(stage, task, p, q, a, b)
+    return [{int(i): t.vec[k] for (name, _), t in held.items() if name == want for k, i in enumerate(t.ids)} for want in (first, second)]
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_bpr_epoch_against_numpy(spark, planted, n):
+    """Two epochs of plain descent, sample after sample, in rotating blocks."""
+    model = BPRMF({"d": 4, "lr": 0.1, "reg_j": 0.5, "num_iters": 10, "num_negative_samples": 2}).initialize(planted)
+    model._n_blocks, own = n, {(r.u, r.i) for r in planted.collect()}
+    opt, seen = model.opt, []
+
+    def loop(stage, task, p, q, a, b):
+        rate = max(opt["min_lr"], opt["lr"] * (1 - (model.epoch + stage / n) / 10))
+        for u, i, j in zip(*bpr_samples(q, a, b, (0, model.epoch, stage, task), opt), strict=True):
+            assert (p.ids[u], q.ids[j]) not in own and (p.ids[u], q.ids[i]) in own
+            x = p.vec[u] @ (q.vec[i] - q.vec[j]) + q.bias[i] - q.bias[j]
+            seen.append(np.log1p(np.exp(-x)))
+            w = 0.0 if x > 6 else 1.0 if x < -6 else 1 / (1 + np.exp(x))
+            user, apart = p.vec[u].copy(), q.vec[i] - q.vec[j]
+            p.vec[u] += rate * (w * apart - opt["reg_u"] * user)
+            q.vec[i] += rate * (w * user - opt["reg_i"] * q.vec[i])
+            q.vec[j] += rate * (-w * user - opt["reg_j"] * q.vec[j])
+            q.bias[i] += rate * (w - opt["reg_b"] * q.bias[i])
+            q.bias[j] += rate * (-w - opt["reg_b"] * q.bias[j])
+
+    for _ in range(2):
+        seen.clear()
+        p, q = replayed(model, "P", "Q", model.weights, model.pairs, n, loop)
+        assert np.isclose(model.step(), np.mean(seen)) and len(seen) == 2 * len(own)
+        for name, want in (("P", p), ("Q", q)):
+            got = arrays(model, name)
+            assert got.keys() == want.keys() and all(np.allclose(x, want[k]) for k, x in got.items())
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_skipgram_epoch_against_numpy(spark, n):
+    stream = spark.range(3000).select(F.floor(F.col("id") / 60).alias("u"), (F.col("id") % 60).alias("pos"), F.concat(F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(40))).alias("token"))
+    model = W2V({"d": 5, "window": 3, "min_count": 1, "sample": 0.02, "lr": 0.1, "num_negative_samples": 3}).initialize(stream)
+    model.n_blocks, losses = n, []
+
+    def loop(stage, task, inner, outer, a, b):
+        rate, rng = max(0.0001, 0.1 * (1 - (model.epoch + stage / n) / 3)), np.random.default_rng((0, model.epoch, stage, task))
+        order = rng.permutation(len(a))
+        others = grid.others(b[order], outer.w, 3, rng)
+        assert not (others == b[order][:, None]).any()
+        pairs = list(zip(a[order], b[order], others, strict=True))
+        for first in range(0, len(pairs), 128):
+            inner_before, outer_before = inner.vec.copy(), outer.vec.copy()
+            for c, i, js in pairs[first : first + 128]:
+                losses.append(0.0)
+                for k, j in enumerate([i, *js]):
+                    x = inner_before[c] @ outer_before[j]
+                    losses[-1] += np.log1p(np.exp(x if k else -x))
+                    g = rate * ((k == 0) - 1 / (1 + np.exp(-x)))
+                    inner.vec[c] += g * outer_before[j]
+                    outer.vec[j] += g * inner_before[c]
+
+    for _ in range(2):
+        losses.clear()
+        p, q = replayed(model, "Q", "L1", model.weights, model.window_pairs(), n, loop)
+        assert np.isclose(model.step(), np.mean(losses)) and len(losses) > 3000
+        for name, want in (("Q", p), ("L1", q)):
+            assert all(np.allclose(x, want[k]) for k, x in arrays(model, name).items())
+
+
+def test_window_pairs_follow_the_reach(spark):
+    """Contexts within the centre's drawn reach over the words that are left, hot user cut in pieces of 20."""
+    stream = spark.range(400).select((F.col("id") % 7 == 0).cast("long").alias("u"), F.col("id").alias("pos"), F.concat(F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(30))).alias("token"))
+    model = W2V({"d": 2, "window": 4, "min_count": 1, "sample": 0.05}).initialize(stream)
+    whole = model.window_pairs().groupBy("u", "i").count()
+    words.PIECE, before = 20, words.PIECE
+    try:
+        cut = model.window_pairs().groupBy("u", "i").count()
+        assert cut.exceptAll(whole).count() == 0 and whole.exceptAll(cut).count() == 0
+    finally:
+        words.PIECE = before
+    kept = model.stream.where(_uniform("u", "pos", F.lit(0), F.lit(0)) < F.col("keep")).withColumn("reach", 4 - F.floor(_uniform("u", "pos", F.lit(0), F.lit(1)) * 4))
+    want, held = Counter(), {}
+    for r in kept.orderBy("pos").collect():
+        held.setdefault(r.u, []).append((r.id, r.reach))
+    for at in held.values():
+        for k, (centre, reach) in enumerate(at):
+            want.update((at[c][0], centre) for c in range(max(0, k - reach), min(len(at), k + reach + 1)) if c != k)
+    assert {(r.u, r.i): r["count"] for r in whole.collect()} == dict(want)
+
+
+def test_draws_of_a_block():
+    rng = np.random.default_rng(1)
+    pairs = np.array(sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 5, 60), rng.integers(0, 12, 60), strict=True)} | {(7, b) for b in range(12)} | {(8, b) for b in range(12) if b not in (3, 6)}))
+    a, b = pairs.T
+    w = np.array([1, 5, 2, 0, 9, 1, 1, 3, 2, 4, 1, 7])
+    who, j = grid.unseen(a, b, w, 4000, rng)
+    held = {(x, y) for x, y in pairs.tolist()}
+    assert not [1 for x, y in zip(a[who].tolist(), j.tolist(), strict=True) if (x, y) in held or w[y] == 0]
+    assert 7 not in a[who] and set(j[a[who] == 8].tolist()) == {6}
+    free = [k for k in range(12) if (0, k) not in held and w[k]]
+    n = np.bincount(j[a[who] == 0], minlength=12) / (a[who] == 0).sum()
+    assert all(abs(n[k] - w[k] / w[free].sum()) < 0.02 for k in free)
+    got = grid.others(np.full(20_000, 4), w, 1, rng)
+    assert not (got == 4).any() and abs((got == 11).mean() - 7 / 27) < 0.02
+    assert grid.others(np.array([0, 1]), np.array([0, 3]), 1, rng) is None
+
+
+def test_levels_are_the_plain_order():
+    rng = np.random.default_rng(2)
+    a, i, j, k = (rng.integers(0, n, 500) for n in (20, 30, 30, 30))
+    for others in ([i, j], [i, j, k]):
+        level = grid.levels(a, others, 20, 30)
+        for t in range(500):
+            touched = lambda x: {("a", a[x]), *(("b", o[x]) for o in others)}
+            assert level[t] == max([level[s] + 1 for s in range(t) if touched(s) & touched(t)], default=0)
+        assert [x for part in grid.by_level(level) for x in part.tolist()] == sorted(range(500), key=lambda t: (level[t], t))
 
 
 @pytest.mark.parametrize("power", [0.0, 0.75])
@@ -251,6 +370,53 @@ def test_stream_models(spark, planted):
         words.topk_recommendation(spark.range(1))
 
 
+@pytest.mark.parametrize("kind, opt", [(BPRMF, {"lr": 0.1}), (BPRMF, {"optimizer": "adam", "lr": 0.1}), (ALS, {"optimizer": "llt"})])
+def test_resumed_training_is_unbroken_training(spark, planted, tmp_path, kind, opt):
+    opt = {"d": 4, "num_iters": 4, "save_period": 1, "early_stopping_rounds": 3} | opt
+    whole = kind(opt).initialize(planted)
+    whole.train()
+
+    def lost(k, metrics):
+        if k == 2:
+            raise KeyboardInterrupt  # the driver goes in the third epoch, after its step
+
+    broken, folder = kind(opt).initialize(planted), f"file://{tmp_path}/epochs"
+    with pytest.raises(KeyboardInterrupt):
+        broken.train(lost, lambda: {"x": 0.0}, folder)
+    again = kind(opt).initialize(planted).resume(folder)
+    steps = []
+    again.train(lambda k, m: steps.append(k), lambda: {"x": 0.0}, folder)
+    assert steps == [2, 3]
+    for name in ("P", "Q"):
+        got, want = arrays(again, name), arrays(whole, name)
+        assert got.keys() == want.keys() and all(np.allclose(x, want[k], rtol=1e-9) for k, x in got.items())
+    with pytest.raises(ValueError):
+        kind(opt | {"d": 5}).initialize(planted).resume(folder)
+    with pytest.raises(ValueError):
+        kind(opt).initialize(planted).resume(f"file://{tmp_path}/nothing")
+
+
+def test_options_have_effect(spark, planted):
+    """validation, compute_loss_on_training, save_period with save_best, and the refusal of normalized vectors."""
+    model = ALS({"d": 4, "num_iters": 2, "optimizer": "llt", "validation": {"topk": 3, "samples": 9}, "compute_loss_on_training": False, "save_best": True}).initialize(planted)
+    seen = []
+    assert set(model.validation_data(planted.where("u < 20")).train(lambda k, m: seen.append(k))) == {"val_ndcg", "val_map", "val_accuracy", "val_auc", "val_rmse", "val_error"}
+    assert seen == [0, 1]
+    silent = ALS({"d": 4, "num_iters": 1, "validation": {"topk": 3}, "evaluation_on_learning": False}).initialize(planted).validation_data(planted)
+    assert set(silent.train()) == {"train_loss"}
+    model.normalize("Q")
+    with pytest.raises(RuntimeError):
+        model.topk_recommendation(spark.range(2).toDF("id"))
+    bpr = BPRMF({"d": 4, "num_iters": 3, "lr": 0.3, "compute_loss_on_training": True}).initialize(planted)
+    losses = []
+    bpr.train(lambda k, m: losses.append(m["train_loss"]), dict)
+    p, q = arrays(bpr, "P"), arrays(bpr, "Q")
+    b = {r.id: r.bias for r in bpr.factors["Q"].collect()}
+    watched = bpr._watched.collect()
+    want = np.mean([np.log1p(np.exp(-(p[r.u] @ (q[r.i] - q[r.j]) + b[r.i] - b[r.j]))) for r in watched])
+    assert np.isclose(losses[-1], want) and losses[-1] < losses[0] and len(watched) == 10
+
+
 def test_warm_start(spark, planted):
     a, b = (PLSI({"d": 3, "random_seed": s}).initialize(planted) for s in (1, 2))
     names = planted.select(F.col("u").alias("id")).distinct().withColumn("key", F.col("id").cast("string"))

@@ -62,3 +62,25 @@ def test_many_seen(spark):
             s[a, b] = -np.inf
     want = [(a, int(b)) for a in range(15) for b in np.argsort(-s[a])[:5] if np.isfinite(s[a, b])]
     assert [(r.q, r.id) for r in got] == want
+
+
+def test_most_blocks_are_skipped_where_norms_differ(spark):
+    """Items whose lengths fall by powers: what the longest reach is out of reach for nearly all others."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 6)) * (np.arange(1, 4001) ** -0.7)[:, None]
+    q, bias = rng.normal(size=(300, 6)), rng.normal(size=4000) * 1e-3
+    items = table(spark, x).repartition(2).join(spark.createDataFrame([(i, float(b)) for i, b in enumerate(bias)], "id long, bias double"), "id")
+    scored = spark.sparkContext.accumulator(0)
+    seen = [(a, int(b)) for a in range(300) for b in np.argsort(-(q[a] @ x.T))[:3]]
+    got = serving.top_k(table(spark, q), items, 5, seen=spark.createDataFrame(seen, "q long, id long"), rows=100, scored=scored).orderBy("q", "rank").collect()
+    s = q @ x.T + bias
+    for a, b in seen:
+        s[a, b] = -np.inf
+    assert [(r.q, r.id) for r in got] == [(a, int(b)) for a in range(300) for b in np.argsort(-s[a])[:5]]
+    assert 300 * 100 <= scored.value < 0.2 * 300 * 4000
+
+
+def test_nothing_asked_nothing_there(spark):
+    x = table(spark, np.eye(3))
+    for q, items in ((x.where("false"), x), (x, x.where("false"))):
+        assert serving.top_k(q, items, 2, seen=spark.createDataFrame([(0, 1)], "q long, id long")).count() == 0
