@@ -1,43 +1,16 @@
 """Shared folders, written stages and small helpers of the training-data operators."""
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.work import root as work_root
+
 #: What separates words: space and the code points 9 to 13.
 SPACES = " \t\n\x0b\f\r"
 SPACES_RE = "[\\x20\\x09-\\x0D]+"
 
-_roots: dict[str, str] = {}
-
-
-def work_root(spark: SparkSession) -> str:
-    """A folder of this application under ``spark.checkpoint.dir``.
-
-    Where that is unset (local tests), a temporary folder of this machine is made the
-    checkpoint folder; on a cluster that is refused, as executors would not share it.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
-        _roots[app] = f"{base}/millrace-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _roots[app])
-    return _roots[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a table in the shared folder: later reads need no executor that wrote it."""

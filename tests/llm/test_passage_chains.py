@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from millrace.llm import passage_chains as p
 from millrace.llm.simhash import LOWER
@@ -114,3 +116,53 @@ def test_recall_of_random_edits(spark):
     found = [i for i, words in want.items() if len(words & covered(got.get(i, []))) >= 0.5 * len(words)]
     assert len(want) > 100 and len(found) >= 0.9 * len(want), (len(found), len(want))
     assert not [i for i in got if i % 4 == 2 and i - 2 not in {t[0] for t in texts}]
+
+
+def test_seeds_are_the_least_of_windows():
+    rng = np.random.default_rng(4)
+    sizes = [0, 3, 4, 5, 7, 8, 9, 40, 300, 8, 2]
+    hashes = [rng.integers(0, 40, n).astype("<u4") for n in sizes]
+    b = p.Bucket(pa.table({"doc_id": list(range(len(sizes))), "t": [h.tobytes() for h in hashes]}))
+    want = set()
+    for k, n in enumerate(sizes):
+        keys = b._shingles()[b.starts[k] : b.ends[k]]
+        for a in range(n - p.SHINGLE - p.WINDOW + 2):
+            want.add(int(b.starts[k] + a + keys[a : a + p.WINDOW].argmin()))
+    assert set(b.pos.tolist()) == want and (b.key >= 0).all()
+
+
+def test_widest_of_many_pairs_is_that_of_few():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(30, 300))
+        x, y = (np.cumsum(1 + rng.integers(0, 3, n) * (rng.random(n) < rng.random())) for _ in range(2))
+        a, b = p.widest(x, y), p.widest(x, y, matrix=0)
+        assert x[a[1]] - x[a[0]] == x[b[1]] - x[b[0]]
+        i, j = b
+        assert j - i + 1 >= p.SIMILAR * max(x[j] - x[i], y[j] - y[i]) + p.SIMILAR - 1e-6
+
+
+def test_passage_after_many_stretches_that_are_none(spark):
+    """130 times nine equal and six other words, and then 60 words of which eight stand apart."""
+    rng = random.Random(6)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = [], []
+    for _ in range(130):
+        w = word(9)
+        one, two = one + w + word(6), two + w + word(6)
+    q, e = word(60), []
+    for k, w in enumerate(q):
+        e += [w] + (word(1) if k % 7 == 3 else [])
+    got = rows_of(spark, [(1, one + q), (2, two + e)])
+    assert set(range(len(two), len(two) + len(e) - 1)) <= covered(got[2])
+
+
+@pytest.mark.parametrize("size, step", [(49, 2), (48, 4), (49, 1), (45, 7)])
+def test_holders_of_every_part_do_not_hide_the_copy(spark, size, step):
+    rng = random.Random(7)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    q = word(200)
+    parts = [(k, word(20) + q[k * step : k * step + size] + word(20)) for k in range((200 - size) // step + 1)]
+    got = rows_of(spark, [*parts, (1000, word(30) + q + word(30)), (2000, word(10) + q + word(10)), (3000, word(10) + q[50:110] + word(10))])
+    assert covered(got[2000]) == set(range(10, 210)) and covered(got[3000]) == set(range(10, 70)) and 1000 not in got
+    assert all(r.source_doc_id == 1000 for r in got[2000] if r.similarity == 1.0)
