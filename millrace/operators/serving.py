@@ -75,15 +75,21 @@ def _packed(t: DataFrame, rows: int | None, by_norm: bool) -> DataFrame:
     return t.mapInArrow(pack, PACKED)
 
 
-class _Side:
+class Side:
     """A block in a task; least: what a query's scores must reach, from blocks that it has met."""
 
     def __init__(self, row: dict, prefix: str = ""):
         self.ids, self.bias, self.least = (np.frombuffer(row.get(prefix + c) or b"", kind) for c, kind in (("ids", np.int64), ("bias", np.float64), ("least", np.float64)))
         self.vec = np.frombuffer(row[f"{prefix}vec"] or b"").reshape(len(self.ids), -1)
 
+    def cut(self, size: int) -> "Iterator[Side]":
+        """Blocks of at most ``size`` rows."""
+        for k in range(0, len(self.ids), size):
+            part = slice(k, k + size)
+            yield Side({"ids": self.ids[part].tobytes(), "vec": self.vec[part].tobytes(), "bias": self.bias[part].tobytes(), "least": self.least[part].tobytes()})
 
-def _best(q: _Side, x: _Side, k: int, metric: str, skip_self: bool, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def best(q: Side, x: Side, k: int, metric: str, skip_self: bool, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of q, rows of x and exact scores of what can be among the k best of a query, by query and rank; seen: (q, id) left out."""
     bias = q.bias[:, None] + x.bias[None]
     s = _block_scores(q.vec, x.vec, metric) + bias
@@ -171,7 +177,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot"
     def task(item: int, block: int) -> int:
         return (number[item] * groups + ((block & 0xFFFFFFFF) + (block >> 32)) % groups) % n_tasks
 
-    def count(side: _Side, held: _Side) -> None:
+    def count(side: Side, held: Side) -> None:
         if scored is not None:
             scored.add(len(side.ids) * len(held.ids))
 
@@ -179,11 +185,11 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot"
         """What queries find in the first block, and for each other one those that it can matter to."""
         for batch in batches:
             for row in batch.to_pylist():
-                side = _Side(row)
+                side = Side(row)
                 least = np.full(len(side.ids), -np.inf)
                 if rounds:
-                    held = _Side(row, "x_")
-                    at, col, score = _best(side, held, k, metric, skip_self, _pairs(row["s_ids"], row["s_vec"]))
+                    held = Side(row, "x_")
+                    at, col, score = best(side, held, k, metric, skip_self, _pairs(row["s_ids"], row["s_vec"]))
                     count(side, held)
                     full = np.bincount(at, minlength=len(least)) >= k
                     least[full] = score[np.searchsorted(at, np.flatnonzero(full), "right") - 1]
@@ -200,7 +206,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot"
         """An item block for each task that its queries go to."""
         for batch in batches:
             for row in batch.to_pylist():
-                held = _Side(row)
+                held = Side(row)
                 for to in sorted({(number[row["block"]] * groups + g) % n_tasks for g in range(groups)}):
                     yield _routed(to, "I", row["block"], row["block"], held.ids, held.vec, held.bias)
 
@@ -222,10 +228,10 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "dot"
                 if row["kind"] == "A":
                     out[row["block"]] = _pairs(row["ids"], row["vec"])
                 elif row["kind"] == "I":
-                    held = _Side(row)
+                    held = Side(row)
                 else:
-                    side = _Side(row)
-                    at, col, score = _best(side, held, k, metric, skip_self, out.get(row["block"]))
+                    side = Side(row)
+                    at, col, score = best(side, held, k, metric, skip_self, out.get(row["block"]))
                     count(side, held)
                     yield pa.RecordBatch.from_arrays([pa.array(side.ids[at]), pa.array(held.ids[col]), pa.array(score)], schema=_FOUND)
 

@@ -1,12 +1,17 @@
 """Queries over the driver's tables for every operator, each with SQL where SQL can express it."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
 from millrace.operators import evaluate, matrix, prepro, serving, splits, steps, words
 from millrace.operators.blocks import Blocks
+from millrace.operators.cells import Cells
 from millrace.sources import streams
+from millrace.sources.matrix import opened, store
+from millrace.work import root
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,6 +110,14 @@ def row_lookup(spark, sf_dir):
     return matrix.row(interactions(spark, sf_dir), 7)
 
 
+@query(f"WITH {INTER} SELECT * FROM inter WHERE i = 7")
+def stored_row_lookup(spark, sf_dir):
+    """A column's entries from a store in buckets, of which one is read."""
+    path = f"{root(spark)}/store-{uuid.uuid4().hex}"
+    store(interactions(spark, sf_dir), path)
+    return opened(spark, path, "colwise")[0].where("i = 7")
+
+
 @query(f"WITH {INTER} SELECT c_name AS user, p_name AS item, i, v FROM inter JOIN customer ON c_custkey = u JOIN part ON p_partkey = i")
 def iterate_named(spark, sf_dir):
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("key"))
@@ -584,3 +597,10 @@ def split_places_train(spark, sf_dir):
 @query(f"WITH {BASKETS}, {HELD_PLACES} SELECT u, i, count(*)::DOUBLE AS v FROM held GROUP BY 1, 2")
 def validation_triples(spark, sf_dir):
     return splits.filled(splits.sample_stream(basket_stream(spark, sf_dir))[1])
+
+
+@query()
+def similar_by_cells(spark, sf_dir):
+    """Every 50th vector's ten nearest by cosine from an index over all, which probes as many cells as 0.95 of them need."""
+    x = vectors_of(spark, sf_dir)
+    return Cells(x).tuned(0.95, skip_self=True).search(x.where("id % 50 = 0"), 10, skip_self=True)

@@ -1,11 +1,13 @@
 """Sources of interaction matrices and id lists, and the stored form of a matrix."""
 
+import atexit
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.work import written
+from millrace.work import drop, written
 
 
 def load(spark: SparkSession, options: dict):
@@ -81,32 +83,71 @@ def ids(spark: SparkSession, source, n: int | None = None) -> DataFrame:
     return spark.createDataFrame(list(enumerate(keys)), "idx int, key string")
 
 
-def store(matrix: DataFrame, path: str, users: DataFrame | None = None, items: DataFrame | None = None) -> None:
-    """Writes both orientations, each sorted by its row, with the dictionaries and a header."""
-    matrix.repartition("u").sortWithinPartitions("u", "i").write.mode("overwrite").parquet(f"{path}/rowwise")
-    matrix.repartition("i").sortWithinPartitions("i", "u").write.mode("overwrite").parquet(f"{path}/colwise")
+def _listed(matrix: DataFrame, path: str, key: str, other: str, buckets: int) -> None:
+    """Files of one orientation: a bucket of rows in each, in order of rows."""
+    name = f"millrace_{uuid.uuid4().hex}"
+    matrix.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key, other).saveAsTable(name)
+    drop(matrix.sparkSession, name)  # the files stay
+
+
+def store(matrix: DataFrame, path: str, users: DataFrame | None = None, items: DataFrame | None = None, buckets: int | None = None, made_of=None) -> None:
+    """Writes both orientations, each in buckets of its rows and sorted, with the dictionaries, and a header last.
+
+    ``buckets``: as many as shuffle partitions by default; ``made_of``: what the matrix was built from, for ``cached``.
+    """
+    buckets = buckets or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for axis, key, other in (("rowwise", "u", "i"), ("colwise", "i", "u")):
+        _listed(matrix, f"{path}/{axis}", key, other, buckets)
     for name, table in (("users", users), ("items", items)):
         if table is not None:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
-    head = matrix.agg(F.count("*").alias("num_nnz"), (F.max("u") + 1).alias("num_users"), (F.max("i") + 1).alias("num_items"))
-    head.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    facts = matrix.agg(F.count("*").alias("num_nnz"), (F.max("u") + 1).alias("num_users"), (F.max("i") + 1).alias("num_items")).first().asDict()
+    value = json.dumps({"facts": facts, "buckets": buckets, "schema": matrix._jdf.schema().toDDL(), "made_of": made_of})
+    matrix.sparkSession.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
-def opened(spark: SparkSession, path: str, axis: str = "rowwise") -> tuple[DataFrame, dict]:
-    """A stored matrix and its header; the header is written last, so without one the store is not complete."""
-    head = json.loads(spark.read.text(f"{path}/header").first().value)
-    return spark.read.parquet(f"{path}/{axis}"), head
+def _header(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/header").first().value)
+
 
+def opened(spark: SparkSession, path: str, axis: str = "rowwise") -> tuple[DataFrame, dict]:
+    """A stored matrix and its facts; the header is written last, so without one the store is not complete.
 
-def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """The stored matrix if it is complete, else what ``build()`` gives, stored."""
+    The files are opened as a bucketed table: a filter on one row reads its bucket only, and in that the row groups that can have it.
+    """
+    head, name = _header(spark, path), f"millrace_{uuid.uuid4().hex}"
+    key, other = ("u", "i") if axis == "rowwise" else ("i", "u")
+    place = f"{path}/{axis}".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({head['schema']}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}, {other}) INTO {head['buckets']} BUCKETS LOCATION '{place}'")
+    atexit.register(drop, spark, name)
+    return spark.table(name), head["facts"]
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> list[list]:
+    """Path, bytes and time of change of the files that a source reads."""
+    out = []
+    for given in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(given)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.globStatus(path) or []:
+            files = fs.listFiles(found.getPath(), True)
+            while files.hasNext():
+                f = files.next()
+                out.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return sorted(out)
+
+
+def cached(spark: SparkSession, path: str, build, made_of=None) -> DataFrame:
+    """The stored matrix if it is complete and of the same ``made_of`` (options, fingerprints: what JSON holds), else what ``build()`` gives, stored."""
     from pyspark.errors import AnalysisException
 
     try:
-        return opened(spark, path)[0]
+        if _header(spark, path)["made_of"] == json.loads(json.dumps(made_of)):
+            return opened(spark, path)[0]
     except AnalysisException:
-        store(build(), path)
-        return opened(spark, path)[0]
+        pass
+    store(build(), path, made_of=made_of)
+    return opened(spark, path)[0]
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:

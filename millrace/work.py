@@ -44,10 +44,10 @@ def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
     """A table that later groupings by ``column`` read without a shuffle."""
     spark, name = df.sparkSession, f"millrace_{uuid.uuid4().hex}"
     df.repartition(n, column).write.option("path", f"{root(spark)}/{name}").bucketBy(n, column).saveAsTable(name)
-    atexit.register(_drop, spark, name)
+    atexit.register(drop, spark, name)
     return spark.table(name)
 
 
-def _drop(spark: SparkSession, name: str) -> None:
+def drop(spark: SparkSession, name: str) -> None:
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         spark.sql(f"DROP TABLE IF EXISTS {name}")

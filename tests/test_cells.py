@@ -1,0 +1,47 @@
+import numpy as np
+import pytest
+from oracle import SF
+
+from millrace.operators import cells, serving
+from millrace.plans.queries import QUERIES
+
+
+def table(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_recall_and_share_of_rows(spark, metric, monkeypatch):
+    """Rows in 40 heaps, one of them with a third of all: 0.9 of the neighbours from a fifth of the rows, with exact scores."""
+    monkeypatch.setattr(cells, "PART", 300)
+    rng = np.random.default_rng(0)
+    heaps = rng.normal(size=(40, 12)) * 2
+    heap = np.where(rng.random(3000) < 1 / 3, 0, rng.integers(0, 40, 3000))
+    x = heaps[heap] + rng.normal(size=(3000, 12)) * 0.4
+    x[100:130] = x[100]
+    items = table(spark, x)
+    index = cells.Cells(items, metric, sample=1000).tuned(0.95, sample=60, skip_self=True)
+    queries, scored = items.where("id % 50 = 0"), spark.sparkContext.accumulator(0)
+    assert index.recall(queries, 10, skip_self=True) >= 0.9
+    got = index.search(queries, 10, skip_self=True, scored=scored).collect()
+    assert len(got) == 600 and scored.value < 0.5 * 60 * 3000  # a third of the queries are in the heap of a third of the rows
+    exact = {(r.q, r.id): r.score for r in serving.top_k(queries, items, 3000, metric, True).collect()}
+    assert all(r.score == exact[r.q, r.id] and r.id != r.q for r in got)
+    everything = index.search(queries, 10, index.cells, True).orderBy("q", "rank").collect()
+    assert [(r.q, r.rank, r.id) for r in everything] == [(r.q, r.rank, r.id) for r in serving.top_k(queries, items, 10, metric, True).orderBy("q", "rank").collect()]
+    assert index.sizes.agg({"n": "sum"}).first()[0] == 3000
+
+
+def test_few_rows_and_none(spark):
+    x = table(spark, np.ones((5, 3)))
+    assert cells.Cells(x).search(x, 3).count() == 15
+    none = cells.Cells(x.where("false"))
+    assert none.search(x, 3).count() == 0 and none.tuned().recall(x.where("false")) == 1.0
+    assert cells.Cells(x).search(x.where("false"), 3).count() == 0
+    with pytest.raises(ValueError):
+        cells.Cells(x, "dot")
+
+
+def test_query(spark):
+    df = QUERIES["similar_by_cells"](spark, SF)
+    assert df.columns == ["q", "rank", "id", "score"] and df.where("rank > 10 OR q = id").count() == 0 and df.count() > 0
