@@ -1,8 +1,8 @@
 """Models trained by gradients: BPRMF, WARP and skip-gram item embeddings.
 
 Plain stochastic descent (BPRMF with sgd, W2V) updates vectors sample by sample in the rotating blocks of ``operators.grid``.
-Adam and Adagrad are synchronous: gradients of sampled pairs are summed by id in partial aggregates, then one optimizer step
-moves all vectors. No factor table is collected or broadcast. Samples come from hashes of (row, epoch, try) or from seeds of
+Adam and Adagrad are synchronous: pairs are scored and their gradients summed where blocks of both vectors meet, then one optimizer
+step moves all vectors. No vector travels with a sample, and no factor table is collected or broadcast. Samples come from hashes of (row, epoch, try) or from seeds of
 (epoch, stage, task), so recomputed parts agree.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.vectors import dot, sigmoid_minus, softplus_minus, squared_distance
+from millrace.functions.vectors import dot, sigmoid_minus, softplus_minus
 from millrace.models.base import Model, initial
 from millrace.operators import grid, words
 from millrace.operators.matrix import running
@@ -27,10 +27,6 @@ def _scaled(v, s) -> Column:
     return F.transform(v, lambda x: x * s)
 
 
-def _minus(a, b) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
-
-
 MASS = 1 << 40
 
 
@@ -128,33 +124,34 @@ class Gradient(Model):
         held = self.own.groupBy("u").agg(F.sum("w").alias("held"), F.count("*").alias("width"))
         return self.keep(self.pairs.join(held, "u", "left").select("row", "u", "i", (self.mass - F.coalesce("held", F.lit(0))).alias("free"), F.coalesce("width", F.lit(0)).alias("width")))
 
-    def _joined(self, triples: DataFrame) -> DataFrame:
-        """``triples`` (u, i, j) with vectors p, q, n and the items' biases bq, bn."""
-        p = self.factors["P"].select(F.col("id").alias("u"), F.col("vec").alias("p"))
-        q = self.factors["Q"].select(F.col("id").alias("i"), F.col("vec").alias("q"), F.col("bias").alias("bq"))
-        n = self.factors["Q"].select(F.col("id").alias("j"), F.col("vec").alias("n"), F.col("bias").alias("bn"))
-        return triples.join(p, "u").join(q, "i").join(n, "j")
+    def _meetings(self, pairs: int) -> int:
+        partitions = int(self.pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return grid.meetings(pairs, self.n_users, self.n_held, self.opt["d"], partitions)
+
+    def _scored(self, pairs: DataFrame, item: str, n_pairs: int, l2: bool = False) -> DataFrame:
+        """``pairs`` (u, the item, further columns) with their score s by the factors as they are."""
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", s double"
+        return grid.met(pairs, "u", item, self.factors["P"], self.factors["Q"], self._meetings(n_pairs), self.opt["d"], lambda: grid.Scores(l2), schema)
 
-    def _summed(self, samples: DataFrame, parts: list, loss) -> tuple[DataFrame, float]:
-        """Gradients (name, id, g, gb, n, r) summed over samples, and the sum of ``loss``.
+    def _pulled(self, samples: DataFrame, n_samples: int, reg: tuple[float, float, float], l2: bool = False) -> DataFrame:
+        """Gradients (name, id, g, gb, n, r) of samples (u, i, j, w), summed: u is drawn to i by w and from j.
 
-        ``parts``: name, id, g, gb and r, the weight of regularisation, for what a sample adds to. Vectors of samples are not
-        stored: sums are made where samples are joined and only these are shuffled.
+        reg: the weights of regularisation that a sample adds for u, i and j. Only block sums are shuffled.
         """
-        d, kind = self.opt["d"], "struct<name:string,id:long,g:array<double>,gb:double,r:double,loss:double>"
-        none = F.lit(None)
-        each = [F.struct(F.lit(name).alias("name"), ident.alias("id"), g.alias("g"), gb.alias("gb"), F.lit(float(r)).alias("r"), none.alias("loss")).cast(kind) for name, ident, g, gb, r in parts]
-        each.append(F.struct(F.lit("loss").alias("name"), F.lit(0).cast("long").alias("id"), none.alias("g"), F.lit(0.0).alias("gb"), F.lit(0.0).alias("r"), loss.alias("loss")).cast(kind))
-        x = samples.select(F.explode(F.array(*each)).alias("x")).select("x.*")
-        sums = x.groupBy("name", "id").agg(F.array(*[F.sum(F.col("g")[k]) for k in range(d)]).alias("g"), F.sum("gb").alias("gb"), F.count("*").alias("n"), F.sum("r").alias("r"), F.sum("loss").alias("loss"))
-        sums = self.keep(sums, "gradients")
-        total = sums.where("name = 'loss'").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
-        return sums, float(total.loss / total.n) if total.n else 0.0
+        opt, number = self.opt, lambda x: F.lit(float(x))
+        two = [
+            F.struct(F.col(x).alias("x"), (sign * F.col("w")).alias("w"), number(one).alias("one"), number(opt[f"update_{x}"]).alias("move"), number(reg[0]).alias("rf"), number(r).alias("rs"))
+            for x, sign, one, r in (("i", 1, 1, reg[1]), ("j", -1, 0, reg[2]))
+        ]
+        pairs = samples.select("u", F.explode(F.array(*two)).alias("e")).select("u", "e.*")
+        parts = grid.met(pairs, "u", "x", self.factors["P"], self.factors["Q"], self._meetings(2 * n_samples), opt["d"], lambda: grid.Pulls(l2), grid.Pulls.SCHEMA)
+        sums = parts.groupBy("name", "id").agg(F.array(*[F.sum(F.col("g")[k]) for k in range(opt["d"])]).alias("g"), F.sum("gb").alias("gb"), F.sum("n").alias("n"), F.sum("r").alias("r"))
+        return self.keep(sums.where("n > 0"), "gradients")
 
     def _apply(self, name: str, gradients: DataFrame, rate: float, reg: float, unit_ball: bool = False) -> None:
         """One step from summed gradients (id, g, gb, n, r) in direction of ascent; ``reg`` adds to what samples regularise."""
         opt = self.opt
-        t = self.factors[name].join(gradients.where(F.col("name") == name).drop("name", "loss"), "id", "left")
+        t = self.factors[name].join(gradients.where(F.col("name") == name).drop("name"), "id", "left")
         moved = F.col("g").isNotNull()
         kind = opt["optimizer"]
         g = F.zip_with("g", "vec", lambda a, v: a - (2 * reg + F.col("r")) * v)
@@ -183,14 +180,19 @@ class Gradient(Model):
         self.factors[name] = self.keep(t.select("id", vec.alias("vec"), bias.alias("bias"), pick("m"), pick("s")), name)
 
     def _pair_loss(self) -> Column:
-        """Of a joined sample (p, q, n, bq, bn)."""
-        return softplus_minus(dot("p", _minus("q", "n")) + F.col("bq") - F.col("bn"))
+        """Of a sample with the scores si and sj."""
+        return softplus_minus(F.col("si") - F.col("sj"))
+
+    def _both_scored(self, samples: DataFrame, n: int, l2: bool = False) -> DataFrame:
+        """``samples`` (u, i, j, further columns) with the scores si and sj."""
+        one = self._scored(samples, "i", n, l2).withColumnRenamed("s", "si")
+        return self._scored(one, "j", n, l2).withColumnRenamed("s", "sj")
 
     def sampled_loss(self) -> float | None:
         """The mean loss of ``loss_samples``, which are drawn once; asked for by ``compute_loss_on_training``."""
         if not hasattr(self, "_watched"):
             self._watched = self.keep(self.loss_samples())
-        return self._joined(self._watched).agg(F.avg(self._pair_loss())).first()[0] or 0.0
+        return self._both_scored(self._watched, self.n_users, self.opt.get("score_func", "").lower() == "l2").agg(F.avg(self._pair_loss())).first()[0] or 0.0
 
     def loss_samples(self, n: int | None = None) -> DataFrame:
         """u, i, j: a positive and an unseen item of the root of the number of users (or ``n``), for watching the loss."""
@@ -276,27 +278,18 @@ class BPRMF(Gradient):
                 return bpr_updates(p, q, a, i, j, rates[stage], opt), len(a)
 
             return self._rotate("P", "Q", self.weights if opt["sampling_power"] else None, self.pairs, ("u", "i"), self.n_blocks, run)
-        opt = self.opt
-        x = dot("p", _minus("q", "n")) + F.col("bq") - F.col("bn")
-        at = self._joined(self.negatives()).withColumn("x", x).withColumn("w", sigmoid_minus("x"))
-        w = F.col("w")
-        parts = [("P", F.col("u"), _scaled(_minus("q", "n"), w), F.lit(0.0), 0)]
-        if opt["update_i"]:
-            parts.append(("Q", F.col("i"), _scaled("p", w), w, 0))
-        if opt["update_j"]:
-            parts.append(("Q", F.col("j"), _scaled("p", -w), -w, 0))
-        sums, loss = self._summed(at, parts, softplus_minus("x"))
+        opt, n = self.opt, self.n_rows * self.opt["num_negative_samples"]
+        at = self.keep(self._both_scored(self.negatives(), n).withColumn("x", F.col("si") - F.col("sj")), "samples")
+        loss = at.agg(F.avg(softplus_minus("x"))).first()[0] or 0.0
+        sums = self._pulled(at.select("u", "i", "j", sigmoid_minus("x").alias("w")), n, (0.0, 0.0, 0.0))
         self._apply("P", sums, opt["lr"], opt["reg_u"])
         self._apply("Q", sums, opt["lr"], opt["reg_i"])
         self.epoch += 1
         return loss
 
 
-#: By name of a score: how much better i is than j for u, and the gradients of u, i and j where that counts.
-SCORES = {
-    "dot": (lambda p, q, n: dot(p, _minus(q, n)), lambda p, q, n, w: _scaled(_minus(q, n), w), lambda p, q, n, w: _scaled(p, w), lambda p, q, n, w: _scaled(p, -w)),
-    "l2": (lambda p, q, n: squared_distance(p, n) - squared_distance(p, q), lambda p, q, n, w: _scaled(_minus(q, n), 2 * w), lambda p, q, n, w: _scaled(_minus(p, q), w), lambda p, q, n, w: _scaled(_minus(p, n), -w)),
-}
+#: Names of scores: dot products, and squared distances below zero.
+SCORES = ("dot", "l2")
 
 
 class WARP(Gradient):
@@ -313,45 +306,44 @@ class WARP(Gradient):
         self._start({"P": self.pairs.select(F.col("u").alias("id")).distinct(), "Q": self.item_ids}, False, 1 / self.opt["d"])
         return self
 
+    @property
+    def l2(self) -> bool:
+        return self.opt["score_func"].lower() == "l2"
+
     def violations(self) -> DataFrame:
         """row, u, i, j, t, width: for each positive the first unseen item within ``threshold`` of it, if ``max_trials`` draws find one.
 
-        Rounds of draws, each twice as large as the one before, go on for the rows that are still open.
+        Rounds of draws, each twice as large as the one before, go on for the rows that are still open: an open row has its own
+        score with it. Draws go to the blocks of their vectors.
         """
-        done, n, open_, found = 0, self.opt["trials_at_once"], self.rows, []
-        margin = SCORES[self.opt["score_func"].lower()][0]("p", "q", "n")
-        while done < self.opt["max_trials"]:
+        done, n, left, found = 0, self.opt["trials_at_once"], self.n_rows, []
+        open_ = self.keep(self._scored(self.rows, "i", left, self.l2).withColumnRenamed("s", "own"), "open")
+        while done < self.opt["max_trials"] and left:
             n = min(n, self.opt["max_trials"] - done)
-            hits = self._joined(self._unseen(open_, done, n)).where(margin < self.opt["threshold"]).groupBy("row").agg(F.min_by(F.struct("j", "t"), "t").alias("f"))
+            draws = self._unseen(open_, done, n).drop("i").join(open_.select("row", "own"), "row")
+            near = self._scored(draws.select("row", "u", "j", "t", "own"), "j", left * n, self.l2).where(F.col("own") - F.col("s") < self.opt["threshold"])
+            hits = near.groupBy("row").agg(F.min_by(F.struct("j", "t"), "t").alias("f"))
             hits = self.keep(open_.join(hits, "row").select("row", "u", "i", "f.j", "f.t", "width"), "violations", 16)
             found.append(hits)
             done, n = done + n, 2 * n
             if done < self.opt["max_trials"]:
                 open_ = self.keep(open_.join(hits.select("row"), "row", "left_anti"), "open")
-                if not open_.limit(1).count():
-                    break
+                left = open_.count()
         return reduce(DataFrame.unionByName, found)
 
     def step(self) -> float:
         """One pass over all positives; the share of those with a violation."""
-        opt, (_, user, item, other), hits = self.opt, SCORES[self.opt["score_func"].lower()], self.violations()
-        rank = F.log(F.greatest(F.lit(1), F.floor((self.n_items - F.col("width") - 1) / (F.col("t") + 1))))
-        at = self._joined(hits).withColumn("phi", rank.cast("double"))
-        phi, zero = F.col("phi"), F.lit(0.0)
-        parts = [("P", F.col("u"), user("p", "q", "n", phi), zero, opt["reg_u"])]
-        if opt["update_i"]:
-            parts.append(("Q", F.col("i"), item("p", "q", "n", phi), zero, opt["reg_i"]))
-        if opt["update_j"]:
-            parts.append(("Q", F.col("j"), other("p", "q", "n", phi), zero, opt["reg_j"]))
-        sums, _ = self._summed(at, parts, F.lit(1.0))
+        opt, hits = self.opt, self.violations()
+        rank = F.log(F.greatest(F.lit(1), F.floor((self.n_items - F.col("width") - 1) / (F.col("t") + 1)))).cast("double")
+        n = hits.count()
+        sums = self._pulled(hits.select("u", "i", "j", rank.alias("w")), n, (opt["reg_u"], opt["reg_i"], opt["reg_j"]), self.l2)
         self._apply("P", sums, opt["lr"], 0.0, True)
         self._apply("Q", sums, opt["lr"], 0.0, True)
         self.epoch += 1
-        violated = sums.where("name = 'loss'").agg(F.sum("n")).first()[0] or 0
-        return violated / max(1, self.n_rows)
+        return n / max(1, self.n_rows)
 
     def _pair_loss(self) -> Column:
-        return F.greatest(F.lit(0.0), self.opt["threshold"] - SCORES[self.opt["score_func"].lower()][0]("p", "q", "n"))
+        return (F.col("si") - F.col("sj") < self.opt["threshold"]).cast("double")
 
     def most_similar(self, items, k=10, group="Q", metric=None, pool=None):
         return super().most_similar(items, k, group, metric or ("l2" if self.opt["score_func"].lower() == "l2" else "cosine"), pool)

@@ -191,3 +191,108 @@ def unseen(a: np.ndarray, b: np.ndarray, w: np.ndarray, times: int, rng: np.rand
     at = local * (total + 1) + (high[b] - w[b] - before)
     found = np.searchsorted(at, local[who] * (total + 1) + r, "right")
     return who, np.searchsorted(high, r + own[found] - own[first[who]], "right")
+
+
+def meetings(n_pairs: int, n_first: int, n_second: int, d: int, partitions: int) -> int:
+    """Blocks of a table for ``met``: enough for all tasks, and for a million pairs or so in each."""
+    return max(blocks(n_pairs, n_first, n_second, d, partitions), ceil((2 * partitions) ** 0.5), ceil((n_pairs / 1e6) ** 0.5))
+
+
+def met(pairs: DataFrame, a: str, b: str, first: DataFrame, second: DataFrame, n: int, d: int, make: Callable, schema: str) -> DataFrame:
+    """What ``make()``'s ``rows`` and ``end`` give where pairs of ids meet both their vectors.
+
+    Pairs are dealt to n * n tasks by the blocks of their two ids, and each block is sent to the n tasks that need it, so no vector
+    travels with a pair. A task holds two blocks and a batch of pairs, however many pairs one id has. ``rows(t, first, second, a,
+    b)`` gets a batch and its places in the blocks; ``end(first, second)`` comes after all of a task; both give a table or None.
+    """
+    names, every = pairs.columns, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    task = lambda x, y: (x * n + y).cast("int").alias("_task")
+    none = lambda columns, kinds: [F.lit(None).cast(kinds[c].dataType).alias(c) for c in columns]
+    binary = ["ids", "vec", "bias"]
+    rows = pairs.select(task(dealt(a, n), dealt(b, n)), F.lit(2).alias("_kind"), *names, *[F.lit(None).cast("binary").alias(f"_{c}") for c in binary])
+    for kind, table in enumerate((first, second)):
+        held = packed(table, "", n, d).select("key", every.alias("other"), *binary)
+        x, y = (F.col("key"), F.col("other")) if kind == 0 else (F.col("other"), F.col("key"))
+        rows = rows.unionByName(held.select(task(x, y), F.lit(kind).alias("_kind"), *none(names, pairs.schema), *[F.col(c).alias(f"_{c}") for c in binary]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, maker = None, [None, None], None
+
+        def given(t: pa.Table | None) -> Iterator[pa.RecordBatch]:
+            if t is not None:
+                yield from t.to_batches()
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            where = t["_task"].to_numpy() * 3 + t["_kind"].to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(where) else [0]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                number, kind = divmod(int(where[low]), 3)
+                if number != now:
+                    if maker:
+                        yield from given(maker.end(*held))
+                    now, held, maker = number, [None, None], make()
+                part = t.slice(low, high - low)
+                if kind < 2:
+                    row = {c: part[f"_{c}"][0].as_py() for c in binary}
+                    held[kind] = _opened(row | {"w": b""}, d)
+                elif held[0] and held[1]:
+                    x, y = (part[c].to_numpy() for c in (a, b))
+                    part = part.select(names)
+                    at = [np.minimum(np.searchsorted(h.ids, k), len(h.ids) - 1) for h, k in zip(held, (x, y), strict=True)]
+                    there = (held[0].ids[at[0]] == x) & (held[1].ids[at[1]] == y)
+                    if there.any():
+                        yield from given(maker.rows(part.filter(pa.array(there)), *held, at[0][there], at[1][there]))
+        if maker:
+            yield from given(maker.end(*held))
+
+    return rows.repartitionById(n * n, "_task").sortWithinPartitions("_task", "_kind").mapInArrow(run, schema)
+
+
+class Scores:
+    """Adds ``s``, the score of each pair: the dot product and the second's bias, or the squared distance below zero."""
+
+    def __init__(self, l2: bool):
+        self.l2 = l2
+
+    def rows(self, t: pa.Table, first: Block, second: Block, a: np.ndarray, b: np.ndarray) -> pa.Table:
+        x, y = first.vec[a], second.vec[b]
+        s = -np.einsum("nd,nd->n", x - y, x - y) if self.l2 else np.einsum("nd,nd->n", x, y) + second.bias[b]
+        return t.append_column("s", pa.array(s))
+
+    def end(self, first: Block, second: Block) -> None:
+        """Nothing is held back."""
+
+
+class Pulls:
+    """Sums of what pairs with weight w add to both sides: w y to the first and w x to the second, or 2 w y and w (x - y) for l2.
+
+    A pair has w, one (whether it counts for the first), move (whether it moves the second), and the weights rf and rs of
+    regularisation. Out come name (P or Q), id, g, gb (sum of w), n and r of what a task's pairs touch.
+    """
+
+    SCHEMA = "name string, id long, g array<double>, gb double, n long, r double"
+
+    def __init__(self, l2: bool):
+        self.l2, self.sums = l2, None
+
+    def rows(self, t: pa.Table, first: Block, second: Block, a: np.ndarray, b: np.ndarray) -> None:
+        if self.sums is None:
+            self.sums = [(np.zeros_like(h.vec), np.zeros((len(h.ids), 3))) for h in (first, second)]
+        w, one, move, rf, rs = (t[c].to_numpy() for c in ("w", "one", "move", "rf", "rs"))
+        x, y, d = first.vec[a], second.vec[b], first.vec.shape[1]
+        to_first, to_second = (2 if self.l2 else 1) * w[:, None] * y, (w * move)[:, None] * (x - y if self.l2 else x)
+        for (g, facts), at, add, values in zip(self.sums, (a, b), (to_first, to_second), ((0 * w, one, rf * one), (w * move, move, rs * move)), strict=True):
+            np.add.at(g.reshape(-1), (at[:, None] * d + np.arange(d)).ravel(), add.ravel())
+            for k, v in enumerate(values):
+                facts[:, k] += np.bincount(at, v, len(facts))
+
+    def end(self, first: Block, second: Block) -> pa.Table | None:
+        if self.sums is None:
+            return None
+        out = []
+        for name, held, (g, facts) in zip((FIRST, SECOND), (first, second), self.sums, strict=True):
+            at = np.flatnonzero((facts[:, 1] > 0) | g.any(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * g.shape[1], pa.int32()), pa.array(g[at].ravel()))
+            out.append(pa.table([pa.array([name] * len(at), pa.string()), pa.array(held.ids[at]), lists, pa.array(facts[at, 0]), pa.array(facts[at, 1].astype(np.int64)), pa.array(facts[at, 2])], [c.split()[0] for c in self.SCHEMA.split(", ")]))
+        return pa.concat_tables(out)

@@ -341,6 +341,41 @@ def test_warp_goes_on_until_max_trials(spark):
     assert found[16] < 10 < 25 < found[500]
 
 
+@pytest.mark.parametrize("score", ["dot", "l2"])
+@pytest.mark.parametrize("update_i", [True, False])
+def test_warp_step_against_numpy(spark, planted, score, update_i):
+    """One Adagrad step from the violations that the epoch draws, and these against the draws in their order."""
+    model = WARP({"d": 4, "lr": 0.3, "score_func": score, "threshold": 0.05, "max_trials": 20, "trials_at_once": 4, "reg_u": 0.01, "reg_i": 0.02, "reg_j": 0.03, "update_i": update_i}).initialize(planted)
+    for name in "PQ":  # longer vectors, so that not every draw is a hit
+        model.factors[name] = model.keep(model.factors[name].withColumn("vec", F.transform("vec", lambda x: 2 * x)), name)
+    p, q = arrays(model, "P"), arrays(model, "Q")
+    s = lambda u, i: p[u] @ q[i] if score == "dot" else -((p[u] - q[i]) ** 2).sum()
+    hits = {r.row: r for r in model.violations().collect()}
+    draws = {}
+    for r in model._unseen(model.rows, 0, 20).collect():
+        draws.setdefault((r.row, r.u, r.i), {})[r.t] = r.j
+    for (row, u, i), js in draws.items():
+        first = next((t for t in range(20) if s(u, i) - s(u, js[t]) < 0.05), None)
+        assert (hits[row].t, hits[row].j) == (first, js[first]) if first is not None else row not in hits
+    assert 0 < len(hits) < len(draws)
+    held = {}
+    for r in hits.values():
+        w = np.log(max(1, (model.n_items - r.width - 1) // (r.t + 1)))
+        u, i, j = p[r.u], q[r.i], q[r.j]
+        gs = (w * (i - j), w * u, -w * u) if score == "dot" else (2 * w * (i - j), w * (u - i), -w * (u - j))
+        for key, g, reg in ((("P", r.u), gs[0], 0.01), (("Q", r.i), gs[1], 0.02), (("Q", r.j), gs[2], 0.03)):
+            if update_i or key != ("Q", r.i) or reg == 0.03:
+                held.setdefault(key, []).append((g, reg))
+    assert model.step() == len(hits) / len(draws)
+    for name, old in (("P", p), ("Q", q)):
+        for k, x in arrays(model, name).items():
+            want = old[k]
+            if gs := held.get((name, k)):
+                g = sum(g for g, _ in gs) - sum(r for _, r in gs) * old[k]
+                want = old[k] + 0.3 * g / (np.sqrt(g * g) + 1e-10)
+            assert np.allclose(x, want / max(1.0, np.linalg.norm(want)), atol=1e-7), (name, k)
+
+
 @pytest.mark.parametrize("kind, opt", [(EALS, {"c0": 10.0}), (PLSI, {"num_iters": 8, "d": 4})])
 def test_alternating(spark, planted, kind, opt):
     model = kind({"d": 6, "num_iters": 3} | opt).initialize(planted)
