@@ -21,6 +21,7 @@ Tokens are written once to the shared folder, and no state is shared between sha
 """
 
 from collections.abc import Iterator
+from itertools import repeat
 from math import ceil
 from zlib import crc32
 
@@ -111,13 +112,23 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 
         put(seed)
         if offset < window:
-            unused = np.flatnonzero(left)
-            ranked = unused[np.argsort(-index.scores(seed)[unused], kind="stable")]
+            unused, scores = np.flatnonzero(left), index.scores(seed)
+            scores = scores[unused]
+            near, none = np.flatnonzero(scores > 0), np.flatnonzero(scores <= 0)
+            ranked = unused[np.concatenate((near[np.argsort(-scores[near], kind="stable")], none))]
             sizes, k = left[ranked], 0
             while len(fit := np.flatnonzero(sizes[k:] <= window - offset)):  # the best ranked of those that fit whole
                 k += int(fit[0])
-                put(int(ranked[k]))
-                k += 1
+                room = np.cumsum(sizes[k : k + window - offset])  # and those behind it as long as they fit
+                n_fit = int(np.searchsorted(room, window - offset, "right"))
+                some, starts = ranked[k : k + n_fit], offset + room[:n_fit] - sizes[k : k + n_fit]
+                out.extend(zip(some.tolist(), at[some].tolist(), left[some].tolist(), repeat(sequence), starts.tolist()))
+                offset += int(room[n_fit - 1])
+                at[some] += left[some]
+                left[some] = 0
+                k += n_fit
+                if offset == window:
+                    break
             if offset < window and len(rest := np.flatnonzero(left[ranked])):
                 put(int(ranked[rest[0]]))
         sequence += 1

@@ -141,3 +141,13 @@ def test_neighbours_share_a_shard(spark):
         together.setdefault(r.doc_id, set()).add(r.sequence_id)
     same = [len({d % 60 for d, q in together.items() if s in q}) for s in {r.sequence_id for r in rows}]
     assert np.mean(same) < 3  # windows hold about six documents: of 60 subjects these would be nearly all different
+
+
+def test_a_shard_of_small_documents_is_packed_in_one_pass_a_window():
+    """Windows of 4,096 one-token documents; the neighbours of a seed come first, then the others in their order."""
+    ids = [np.array([2], np.uint16)] * (1 << 17)
+    out = p.pack_shard(ids, np.zeros(10), 1.0)
+    assert [x[0] for x in out] == list(range(1 << 17)) and all(x[2] == 1 and x[3] == k // 4096 and x[4] == k % 4096 for k, x in enumerate(out))
+    ids[100_000] = ids[7] = np.array([5, 2], np.uint16)
+    out = p.pack_shard(ids, np.eye(10)[5], 1.0)
+    assert [x[0] for x in out[:5]] == [7, 100_000, 0, 1, 2]
