@@ -392,6 +392,44 @@ def test_ranking(spark, planted, kind, opt):
         assert model.factors["P"].where(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x) > 1.0001).count() == 0
 
 
+@pytest.mark.parametrize("wide", [20_000, 4])
+def test_cfr_epoch_against_numpy(spark, planted, monkeypatch, wide):
+    """Users, items (by both kinds of equations), contexts and both biases, with rows whole and in parts."""
+    monkeypatch.setattr(blocks, "WIDE", wide)
+    stream = planted.select("u", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "i"))).alias("pos"), "i")
+    d, l, alpha = 4, 0.7, 8.0
+    model = CFR({"d": d, "l": l, "k": 1, "optimizer": "llt", "window": 2}).initialize(stream)
+    for _ in range(2):  # biases are zero before the first
+        p, q, c = (arrays(model, name) for name in "PQC")
+        qb, cb = ({r.id: r.bias for r in model.factors[name].collect()} for name in "QC")
+        model.step()
+    by_user, by_item, by_w, by_c = {}, {}, {}, {}
+    for r in planted.collect():
+        by_user.setdefault(r.u, []).append(r.i)
+        by_item.setdefault(r.i, []).append(r.u)
+    for r in model.pairs.collect():
+        by_w.setdefault(r.w, []).append((r.c, r.v))
+        by_c.setdefault(r.c, []).append((r.w, r.v))
+    assert by_w and model.contexts["w"].split == (wide == 4)
+    eye, gram = np.eye(d), lambda t: sum(np.outer(x, x) for x in t.values())
+    g = gram(q)
+    p = {u: np.linalg.solve(l * g + 0.1 * eye + l * alpha * sum(np.outer(q[i], q[i]) for i in held), l * (1 + alpha) * sum(q[i] for i in held)) for u, held in by_user.items()}
+    g, new = gram(p), {}
+    for i, held in by_item.items():
+        a = l * g + 0.1 * eye + l * alpha * sum(np.outer(p[u], p[u]) for u in held)
+        b = l * (1 + alpha) * sum(p[u] for u in held)
+        for k, v in by_w.get(i, ()):
+            a, b = a + np.outer(c[k], c[k]), b + (v - qb[i] - cb[k]) * c[k]
+        new[i] = np.linalg.solve(a, b)
+    q, qb = new, {i: sum(v - cb[k] - new[i] @ c[k] for k, v in by_w.get(i, ())) / max(1, len(by_w.get(i, ()))) for i in new}
+    new = {k: np.linalg.solve(0.1 * eye + sum(np.outer(q[w], q[w]) for w, _ in held), sum((v - cb[k] - qb[w]) * q[w] for w, v in held)) for k, held in by_c.items()}
+    c = c | new
+    cb = {k: sum(v - qb[w] - q[w] @ c[k] for w, v in by_c.get(k, ())) / max(1, len(by_c.get(k, ()))) for k in c}
+    for name, want, bias in (("P", p, None), ("Q", q, qb), ("C", c, cb)):
+        assert all(np.allclose(x, want[i], atol=1e-7) for i, x in arrays(model, name).items()), name
+        assert bias is None or all(np.isclose(r.bias, bias[r.id], atol=1e-7) for r in model.factors[name].collect()), name
+
+
 def test_stream_models(spark, planted):
     stream = planted.select("u", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "i"))).alias("pos"), "i")
     model = CFR({"d": 6, "num_iters": 1, "k": 1}).initialize(stream)
