@@ -84,3 +84,29 @@ def test_nothing_asked_nothing_there(spark):
     x = table(spark, np.eye(3))
     for q, items in ((x.where("false"), x), (x, x.where("false"))):
         assert serving.top_k(q, items, 2, seen=spark.createDataFrame([(0, 1)], "q long, id long")).count() == 0
+
+
+@pytest.mark.parametrize("metric", serving.METRICS)
+@pytest.mark.parametrize("left_out", (False, True))
+def test_equal_vectors_are_searched_once(spark, metric, left_out, monkeypatch):
+    """Of 900 rows with 30 vectors: all ranks are right, though few pairs are scored; heavy queries search all items."""
+    monkeypatch.setattr(serving, "LIGHT", 5)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 4))[rng.integers(0, 30, 900)]
+    items, scored = table(spark, x).repartition(3), spark.sparkContext.accumulator(0)
+    seen = [(q, int(i)) for q in range(900) for i in rng.permutation(900)[: 40 if q == 7 else q % 4]] if left_out else []
+    got = serving.top_k(items, items, 6, metric, True, seen=spark.createDataFrame(seen, "q long, id long") if left_out else None, rows=50, scored=scored).orderBy("q", "rank").collect()
+    out = {(q, q) for q in range(900)} | set(seen)
+    for q in range(900):
+        s = {"dot": x @ x[q], "cosine": x @ x[q] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]) + 1e-8), "l2": -((x - x[q]) ** 2).sum(1)}[metric].round(9)
+        want = [int(i) for i in np.lexsort((np.arange(900), -s)) if (q, int(i)) not in out][:6]
+        assert [(r.q, r.rank, r.id) for r in got[6 * q : 6 * q + 6]] == [(q, n + 1, i) for n, i in enumerate(want)]
+    assert scored.value <= (900 * 30 * 12 + 900 if left_out else 30 * 30 * 7)
+
+
+def test_parts_of_a_block_find_the_same(monkeypatch):
+    rng = np.random.default_rng(6)
+    q, x = (serving.Side({"ids": np.arange(70).tobytes(), "vec": rng.normal(size=(70, 3)).tobytes(), "bias": np.zeros(70).tobytes()}) for _ in range(2))
+    whole = serving.best(q, x, 4, "dot", True, np.array([[3, 60], [9, 2]]))
+    monkeypatch.setattr(serving, "SCORES", 700)
+    assert all((a == b).all() for a, b in zip(whole, serving.best(q, x, 4, "dot", True, np.array([[3, 60], [9, 2]])), strict=True))
