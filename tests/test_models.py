@@ -521,3 +521,15 @@ def test_serving_by_key(spark, planted):
     seen = []
     out = model.train(lambda k, m: seen.append(m), model.validated(vali, samples=5))
     assert set(out) == {"train_loss", "val_ndcg", "val_map", "val_accuracy", "val_auc", "val_rmse", "val_error"} and len(seen) == 1
+
+
+def test_associations_are_shifted_pmi_of_pairs(spark, monkeypatch):
+    """Without a table of pairs; words beside themselves, gaps between places and cut streams included."""
+    rng = np.random.default_rng(4)
+    rows = [(u, 3 * p, int(i)) for u, n in enumerate((1, 7, 60, 200)) for p, i in enumerate(rng.integers(0, 12, n))]
+    stream = spark.createDataFrame(rows, "u long, pos int, i long")
+    want = {(r.w, r.c): r.v for r in words.shifted_pmi(words.cooccurrence(stream, 3), 1).collect()}
+    monkeypatch.setattr(words, "shifted_pmi", None)
+    for piece in (None, 40):
+        got = {(r.w, r.c): r.v for r in words.associations(stream, 3, 1, piece).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want) and any(w == c for w, c in want)
