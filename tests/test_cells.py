@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from oracle import SF
 
 from millrace.operators import cells, serving
@@ -45,3 +46,30 @@ def test_few_rows_and_none(spark):
 def test_query(spark):
     df = QUERIES["similar_by_cells"](spark, SF)
     assert df.columns == ["q", "rank", "id", "score"] and df.where("rank > 10 OR q = id").count() == 0 and df.count() > 0
+
+
+def test_centres_need_little_memory():
+    """4,096 centres of 20,000 rows: all distances at once would be 655 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    from millrace.operators.cells import _nearest
+
+    rng = np.random.default_rng(0)
+    x, c = rng.normal(size=(20_000, 8)), rng.normal(size=(4096, 8))
+    tracemalloc.start()
+    own, far = _nearest(x, c)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    some = ((x[:50, None] - c[None]) ** 2).sum(2)
+    assert (own[:50] == some.argmin(1)).all() and np.allclose(far[:50], some.min(1))
+
+
+def test_sample_reads_few_rows_into_the_driver(spark):
+    """The least hashes are the same as of all rows sorted, from rows below a bound."""
+    x = spark.range(40_000).select("id", F.array(F.col("id") % 7 / 1.0, F.lit(1.0)).alias("vec"))
+    index = cells.Cells(x, "l2", 3, 50)
+    got = index.least(50, 3)
+    assert [r.id for r in got.collect()] == [r.id for r in x.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(50).collect()]
+    assert "xxhash64(id" in got._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
