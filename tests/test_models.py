@@ -533,3 +533,16 @@ def test_associations_are_shifted_pmi_of_pairs(spark, monkeypatch):
     for piece in (None, 40):
         got = {(r.w, r.c): r.v for r in words.associations(stream, 3, 1, piece).collect()}
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want) and any(w == c for w, c in want)
+
+
+def test_draws_carry_columns_of_their_rows(spark):
+    """So that a positive's score needs no join with its draws."""
+    pairs = spark.createDataFrame([(u, i, 1) for u in range(6) for i in range(10) if (u + i) % 3], "u long, i long, v long")
+    model = WARP({"d": 2, "num_iters": 1, "random_seed": 1}).initialize(pairs)
+    drawn = model._unseen(model.rows.withColumn("own", 100 * F.col("u") + F.col("i")), 0, 4, ("own",)).collect()
+    own = {r.row: 100 * r.u + r.i for r in model.rows.collect()}
+    assert len(drawn) == 4 * model.n_rows and all(r.own == own[r.row] for r in drawn)
+    plain = {(r.row, r.t): r.j for r in model._unseen(model.rows, 0, 4).collect()}
+    assert plain == {(r.row, r.t): r.j for r in drawn}
+    hits = model.violations()
+    assert hits.columns == ["row", "u", "i", "j", "t", "width"] and hits.count() > 0
