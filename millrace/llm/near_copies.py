@@ -1,10 +1,13 @@
 """Near copies by SimHash, for texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
+Fingerprints go through operator 4's join (``simhash.links``: pigeonring chains, 3 bits); each goes with the least
+that it is linked to, and texts of one fingerprint with the least of them.
+
 At 0.8 two 64-bit fingerprints differ by about 10 bits and often by 15, which leaves no segment of them
-selective as a join key, in operator 4's way or any other. Candidates are therefore documents that agree in
+selective as a join key, in operator 4's way or any other. For the links that its 3 bits leave out, candidates are documents that agree in
 one of ``BANDS`` keys of ``ROWS`` minimum hashes each; a pair at 0.8 has no key in common in 3 of a million
 cases. Of a key's documents, those whose sizes and fingerprints allow 0.8 (at most ``BITS`` bits differ,
-five deviations) are verified by their exact shingles (64-bit hashes), and only links that hold and
+five deviations) are tried. Candidates of both kinds are verified by their exact shingles (64-bit hashes), and only links that hold and
 join what is not yet joined leave the task: fewer than its documents, never all pairs.
 
 Equal shingle sets are one node, whose shingles are sent once to each key that it shares with others; of keys
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import simhash
 from millrace.llm.components import components
 from millrace.llm.simhash import majority
 from millrace.llm.word_hash import shingles, words
@@ -61,32 +65,35 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """row, doc_id, node, size of the shingles and keys of each row; no keys without words."""
+    """row, doc_id, node, size of the shingles, fingerprint and keys of each row; no keys without words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py()) for t in batch.column(2)]
             keys = [bands(x) if len(x) else np.zeros(0, np.int64) for x in found]
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            cols = [pa.array([node(x) for x in found], pa.int64()), pa.array([8 * len(x) for x in found], pa.int64()), keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["row", "doc_id", "node", "size", "keys"])
+            fps = np.fromiter((majority(x) for x in found), np.uint64, len(found)).view(np.int64)
+            cols = [pa.array([node(x) for x in found], pa.int64()), pa.array([8 * len(x) for x in found], pa.int64()), pa.array(fps), keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["row", "doc_id", "node", "size", "fp", "keys"])
 
-    return docs.mapInArrow(task, "row long, doc_id long, node long, size long, keys array<long>")
+    return docs.mapInArrow(task, "row long, doc_id long, node long, size long, fp long, keys array<long>")
 
 
 def linked(sets: list[np.ndarray], fps: np.ndarray, tags: np.ndarray, band: int) -> list[tuple[int, int]]:
     """Links that hold among sets with a common key of ``band``: a spanning forest of the pairs whose first common key it is.
 
-    ``tags``: 32 bits of each set's keys by band.
+    ``tags``: 32 bits of each set's keys by band. Sets of band ``BANDS`` come from operator 4's join: pairs within its bits are tried.
     """
+    bits = BITS if band < BANDS else simhash.BITS
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     both, ends, out, rest = None, np.cumsum(size), [], np.arange(len(sets))
     while len(rest):
         todo, rest = [int(rest[0])], rest[1:]
         while todo and len(rest):
             x = todo.pop()
-            may = (5 * np.minimum(size[rest], size[x]) >= 4 * np.maximum(size[rest], size[x])) & (np.bitwise_count(fps[rest] ^ fps[x]) <= BITS)
-            may[may] = (tags[rest[may]] == tags[x]).argmax(axis=1) == band
+            may = (5 * np.minimum(size[rest], size[x]) >= 4 * np.maximum(size[rest], size[x])) & (np.bitwise_count(fps[rest] ^ fps[x]) <= bits)
+            if band < BANDS:
+                may[may] = (tags[rest[may]] == tags[x]).argmax(axis=1) == band
             tried = rest[may]
             if not len(tried):
                 continue
@@ -131,16 +138,34 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(last, held)
 
 
+def _chained(nodes: DataFrame, block: int) -> DataFrame:
+    """node and unit of what operator 4's join brings together: each fingerprint with the least that it is linked to.
+
+    A unit is the first node of a fingerprint and a part, by bytes of shingles, of those that go with it.
+    """
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    near = simhash.links(nodes).groupBy(F.greatest("a", "b").alias("fp")).agg(F.min(F.least("a", "b")).alias("to"))
+    hub = F.when(F.col("node") == F.col("head"), F.col("to")).otherwise(F.col("fp"))
+    leaves = nodes.select("node", "size", "fp").join(heads.join(near, "fp", "left"), "fp").select("node", "size", hub.alias("hub")).where("hub IS NOT NULL")
+    leaves = written(leaves, "chained")
+    hubs = leaves.groupBy("hub").agg(F.ceil(F.sum("size") / block).cast("int").alias("parts"))
+    unit = F.struct(F.col("hub").alias("key"), F.col("part").alias("low"), F.col("part").alias("high"), F.lit(BANDS).alias("band")).alias("unit")
+    own = leaves.join(hubs, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    first = hubs.join(heads, F.col("hub") == F.col("fp")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return own.select("node", unit).unionByName(first.select(F.col("head").alias("node"), unit))
+
+
 def _links(docs: DataFrame, rows: DataFrame, block: int) -> DataFrame:
     """Links (a, b) between nodes that reach 0.8 and connect all that do."""
-    nodes = written(rows.where("size > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    nodes = written(rows.where("size > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     keys = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     several = keys.groupBy("key").agg(F.first("band").alias("band"), F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
     # keys of the same documents are one: that of the first band, where all their pairs are tried
     several = several.groupBy("n", "members").agg(F.min(F.struct("band", "key", "size")).alias("k")).select("k.key", F.ceil(F.col("k.size") / block).cast("int").alias("blocks"))
     shared = keys.select("node", "band", "key").join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     shared = shared.select("node", "key", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = shared.groupBy("node").agg(F.collect_list(F.struct("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "band")).alias("units"))  # as many as a node's keys have blocks
+    unit = F.struct("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "band").alias("unit")
+    units = shared.select("node", unit).unionByName(_chained(nodes, block)).groupBy("node").agg(F.collect_list("unit").alias("units"))  # as many as a node's keys have blocks
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = set()
@@ -153,14 +178,13 @@ def _links(docs: DataFrame, rows: DataFrame, block: int) -> DataFrame:
             batch = batch.take(pa.array(first, pa.int64()))
             found = [shingle_set(t.as_py()) for t in batch.column(1)]
             tags = [np.array(x.as_py(), np.int64).astype("<u4").tobytes() for x in batch.column(2)]
-            fps = np.fromiter((majority(x) for x in found), np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(tags, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary()), batch.column(3)], ["node", "fp", "tags", "shingles", "units"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(tags, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary()), batch.column(3)], ["node", "fp", "tags", "shingles", "units"])
 
-    asked = nodes.select("node", "row", "keys").join(units, "node")
+    asked = nodes.select("node", "row", "keys", "fp").join(units, "node")
     unit = "array<struct<key:long,low:int,high:int,band:int>>"
-    sent = docs.select("row", "t").join(asked, "row").select("node", "t", "keys", "units").mapInArrow(task, f"node long, fp long, tags binary, shingles binary, units {unit}")
+    sent = docs.select("row", "t").join(asked, "row").select("node", "t", "keys", "units", "fp").mapInArrow(task, f"node long, fp long, tags binary, shingles binary, units {unit}")
     sent = sent.select(F.explode("units").alias("u"), "node", "fp", "tags", "shingles").select("u.key", "u.low", "u.high", "u.band", "node", "fp", "tags", "shingles")
-    return sent.repartition(parts(docs), "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_units, "a long, b long").distinct()
+    return sent.repartition(parts(docs), "key", "low", "high").sortWithinPartitions("key", "low", "high", "band").mapInArrow(_units, "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:

@@ -90,5 +90,22 @@ def test_pairs_are_tried_in_their_first_band():
     assert [top.index(t) for t in top] == [want.index(t) for t in want]
 
 
+def test_operator_4_links_without_common_keys(spark):
+    """Links within 3 bits come from operator 4's join: found where no two texts share a key of minimum hashes; what it links below 0.8 is dropped."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(rng.sample(words, 800)) for _ in range(4)]
+    texts += [" ".join([*t.split()[:-1], "another"]) for t in texts for _ in range(1)] + ["short text", "one more short text here"]
+    docs = n._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    rows = n._keyed(docs)
+    alone = rows.withColumn("keys", n.F.transform("keys", lambda x: n.F.xxhash64(x, "node")))
+    node = {r.doc_id: r.node for r in rows.collect()}
+    fps = [n.majority(n.shingle_set(t.encode())) for t in texts]
+    want = {tuple(sorted((node[i], node[i + 4]))) for i in range(4) if (fps[i] ^ fps[i + 4]).bit_count() <= 3}
+    assert want
+    for block in (4 << 20, 1000):
+        assert {(r.a, r.b) for r in n._links(docs, alone, block).collect()} == want
+
+
 def test_empty(spark):
     assert c.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
