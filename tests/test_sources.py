@@ -148,3 +148,11 @@ def test_rating_files(spark, tmp_path):
     assert sorted(r.value for r in streams.lines(stream).collect()) == ["7", "8 7"] and rows.count() == 3
     assert sorted(r.value for r in streams.lines_of(spark.createDataFrame([("a b c d e",)], "t string"), "t", 2).collect()) == ["a b", "c d", "e"]
     assert prepro.apply(rows, lambda df, by: df.withColumn("v", F.col("v") * by), by=2).agg(F.sum("v")).first()[0] == 24
+
+
+def test_lines_are_cut_within_rows(spark):
+    """No word is shuffled; blank and null rows give no line."""
+    rows = ["", None, " \t\n", "a", " a\tb \n c\x0bd\re ", "x " * 7, "\u00a0 é\u3000ß z"]
+    lines = streams.lines_of(spark.createDataFrame([(r,) for r in rows], "t string"), "t", 3)
+    assert sorted(r.value for r in lines.collect()) == sorted(["a", "a b c", "d e", "x x x", "x x x", "x", "\u00a0 é\u3000ß z"])
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
