@@ -546,3 +546,26 @@ def test_draws_carry_columns_of_their_rows(spark):
     assert plain == {(r.row, r.t): r.j for r in drawn}
     hits = model.violations()
     assert hits.columns == ["row", "u", "i", "j", "t", "width"] and hits.count() > 0
+
+
+def test_blocks_are_few_and_links_are_lists(spark):
+    """Blocks follow the cores, not the shuffle partitions, and a row or column has one row of links: each block asks for vectors anew."""
+    from millrace.operators.blocks import Blocks
+
+    def places(t):
+        import pyarrow as pa
+
+        columns = t.ids[t.row], t.far_ids[t.at], t.own[t.row, 0], t.far[t.at, 1], t.own_e[t.row], t.far_e[t.at]
+        return pa.table(dict(zip(("u", "i", "p", "q", "e", "f"), columns, strict=True)))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        blocks = Blocks(spark.range(600).selectExpr("id % 30 AS u", "id % 41 AS i", "1.0 AS v"), "u", "i")
+        assert blocks.n == 2 * spark.sparkContext.defaultParallelism < 64
+        assert blocks.mine.count() == 30 and blocks.other.count() == 41
+        own, far = (spark.range(n).selectExpr("id", "array(id + 0.5D, -id * 1D) AS vec", "id * 2D AS e") for n in (30, 41))
+        seen = blocks.each(own, far, 2, places, "u long, i long, p double, q double, e double, f double").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(tuple, seen)) == sorted((k % 30, k % 41, k % 30 + 0.5, -float(k % 41), k % 30 * 2.0, k % 41 * 2.0) for k in range(600))
