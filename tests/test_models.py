@@ -569,3 +569,12 @@ def test_blocks_are_few_and_links_are_lists(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted(map(tuple, seen)) == sorted((k % 30, k % 41, k % 30 + 0.5, -float(k % 41), k % 30 * 2.0, k % 41 * 2.0) for k in range(600))
+
+
+def test_batch_gradients_join_users_last(spark):
+    """Rows go to their user with one difference, not with three vectors: the outermost join is by user."""
+    from millrace.operators.steps import bpr_gradients
+
+    factors = spark.range(9).selectExpr("id", "array(id * 0.1D, 1D) AS vec")
+    plan = bpr_gradients(spark.range(9).selectExpr("id AS u", "8 - id AS i", "(id + 1) % 9 AS j"), factors, factors, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(u#" in next(line for line in plan.splitlines() if "Join" in line)
