@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from millrace.llm import passage_chains as p
+from millrace.llm.license_scan import align, align_hashes
 from millrace.llm.simhash import LOWER
 
 
@@ -166,3 +167,38 @@ def test_holders_of_every_part_do_not_hide_the_copy(spark, size, step):
     got = rows_of(spark, [*parts, (1000, word(30) + q + word(30)), (2000, word(10) + q + word(10)), (3000, word(10) + q[50:110] + word(10))])
     assert covered(got[2000]) == set(range(10, 210)) and covered(got[3000]) == set(range(10, 70)) and 1000 not in got
     assert all(r.source_doc_id == 1000 for r in got[2000] if r.similarity == 1.0)
+
+
+def test_further_holders_of_edited_passages(spark):
+    """Every part of a passage stands in smaller documents, and copies are edited: only further holders lead to the copy."""
+    rng = random.Random(5)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    found = total = 0
+    texts, want = [], []
+    for k in range(10):
+        q = word(60)
+        texts += [(1000 * k + j, word(5) + q[j : j + 46] + word(5)) for j in range(15)]
+        texts += [(1000 * k + 500, word(40) + q + word(40))]
+        edited = [word(1)[0] if i in (9, 23, 40, 52) else w for i, w in enumerate(q)]
+        texts += [(1000 * k + 900, word(30) + edited + word(30))]
+        want.append(1000 * k + 900)
+    got = rows_of(spark, texts)
+    for i in want:
+        total += 1
+        found += any(r.source_doc_id == i - 400 and len(covered([r])) >= 58 for r in got.get(i, []))
+    assert found >= 0.9 * total, (found, total)
+
+
+def test_hashes_align_as_words_do():
+    rng = np.random.default_rng(3)
+    for n, vocabulary in ((30, 9), (400, 90), (400, 5000), (900, 40)):
+        a = rng.integers(0, vocabulary, n).astype(np.uint32)
+        b = np.concatenate((rng.integers(0, vocabulary, 7).astype(np.uint32), np.delete(a, rng.integers(0, n, n // 9))))
+        b[rng.integers(0, len(b), n // 15)] = vocabulary + 1
+        assert [tuple(x) for x in align_hashes(a, b).tolist()] == align(a.tolist(), b.tolist())
+
+
+def test_all_holders_smaller_than_what_asks():
+    blob = lambda x, kind: pa.array([np.array(x, kind).tobytes()])
+    table = pa.table({"bucket": pa.array([4], pa.int32()), "keys": blob([7, 7, 7, 7, 8], "<u8"), "docs": blob([5, 2, 9, 2, 9], "<i8"), "rows": blob([0, 1, 2, 1, 2], "<u4"), "places": blob([50, 20, 90, 21, 1], "<u4"), "asks": blob([0, 1, 1, 1, 1], "u1")})
+    assert sorted((r["row"], r["source"], r["x"], r["y"]) for r in p.all_holders(table).to_pylist()) == [(2, 2, 90, 20), (2, 5, 90, 50)]
