@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from millrace.llm import passage_chains as p
-from millrace.llm.license_scan import align, align_hashes
+from millrace.llm.license_scan import _diagonal_run, align, align_hashes, longest_run
 from millrace.llm.simhash import LOWER
 
 
@@ -202,3 +202,55 @@ def test_smallest_and_next_smaller_holder_of_what_asks():
     blob = lambda x, kind: pa.array([np.array(x, kind).tobytes()])
     table = pa.table({"bucket": pa.array([4], pa.int32()), "keys": blob([7, 7, 7, 7, 7, 8], "<u8"), "docs": blob([5, 2, 9, 2, 4, 9], "<i8"), "rows": blob([0, 1, 2, 1, 3, 2], "<u4"), "places": blob([50, 20, 90, 21, 44, 1], "<u4"), "asks": blob([0, 1, 1, 1, 0, 1], "u1")})
     assert sorted((r["row"], r["source"], r["x"], r["y"]) for r in p.near_holders(table).to_pylist()) == [(2, 2, 90, 20), (2, 5, 90, 50)]
+
+
+def test_stretches_that_are_not_aligned_hold_no_passage():
+    """Whatever their size: texts of common words are left out by counts, and nothing that alignment would find is."""
+    rng = np.random.default_rng(8)
+    left_out = long_ones = found = 0
+    for k in range(400):
+        n, share = int(rng.choice([20, 60, 140, 500])), rng.random()
+        far = rng.integers(0, 20000, n).astype(np.uint32)
+        own = np.where(rng.random(n) < share, far, rng.integers(0, 20000, n).astype(np.uint32))
+        own = np.delete(own, rng.integers(0, n, n // 20))
+        x = int(rng.integers(0, len(own) - 8))
+        y = min(n - 8, x + int(rng.integers(0, 12)))
+        own[x : x + 8] = far[y : y + 8]
+        run = p.run_around(own, far, x, y)
+        passages = p.similar(p.aligned(own, far, x, y, *run))
+        if p.hopeless(own, far, x, y, *run):
+            assert not passages
+            left_out, long_ones = left_out + 1, long_ones + (n == 500)
+        found += bool(passages)
+    assert left_out > 100 and long_ones > 5 and found > 50, (left_out, long_ones, found)
+
+
+def test_passage_off_the_diagonal_is_aligned():
+    rng = np.random.default_rng(9)
+    q, run = rng.integers(0, 1 << 30, 55).astype(np.uint32), rng.integers(0, 1 << 30, 8).astype(np.uint32)
+    own, far = np.concatenate((q, [1, 2], run)).astype(np.uint32), np.concatenate((q, np.arange(100, 140), run)).astype(np.uint32)
+    around = p.run_around(own, far, 57, 95)
+    assert around == (0, 8) and not p.hopeless(own, far, 57, 95, *around)
+    assert [r[:2] for r in p.similar(p.aligned(own, far, 57, 95, *around))] == [(0, 55)]
+
+
+def test_longest_run_by_diagonals():
+    rng = np.random.default_rng(10)
+    for n, m, vocabulary in ((80, 70, 5), (300, 200, 30), (100, 400, 300), (90, 90, 2), (700, 90, 90)):
+        a, b = rng.integers(0, vocabulary, n).astype(np.uint32), rng.integers(0, vocabulary, m).astype(np.uint32)
+        b[10:22] = a[30:42]
+        assert _diagonal_run(a, b) == longest_run(a.tolist(), b.tolist())
+        assert longest_run(a, b) == longest_run(a.tolist(), b.tolist())
+    assert _diagonal_run(a, b, most=10) is None
+
+
+def test_seeds_within_chains():
+    rng = np.random.default_rng(11)
+    x, y, size, count = (rng.integers(low, high, 200) for low, high in ((0, 300), (0, 300), (5, 40), (1, 9)))
+    group = np.sort(rng.integers(0, 4, 200))
+    found = []
+    for _ in range(100):
+        (x0, y0), (w, h) = rng.integers(0, 250, 2), rng.integers(5, 200, 2)
+        found.append((0, 0, x0, min(x0 + w, int((x + size).max())), y0, y0 + h, int(rng.integers(0, 4))))  # chains end where anchors do
+    want = [count[(group == g) & (x >= x0) & (x + size <= x1) & (y >= y0) & (y + size <= y1)].sum() for _, _, x0, x1, y0, y1, g in found]
+    assert p.seeds_within(np.array(found), np.arange(200), group, x, y, size, count).tolist() == want
