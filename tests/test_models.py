@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.models import alternating
 from millrace.models.alternating import ALS, CFR, EALS, SOLVERS, solve
 from millrace.models.base import EarlyStopping, options
 from millrace.models.gradient import BPRMF, W2V, WARP, _uniform, bpr_samples
@@ -578,3 +579,42 @@ def test_batch_gradients_join_users_last(spark):
     factors = spark.range(9).selectExpr("id", "array(id * 0.1D, 1D) AS vec")
     plan = bpr_gradients(spark.range(9).selectExpr("id AS u", "8 - id AS i", "(id + 1) % 9 AS j"), factors, factors, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "(u#" in next(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_cfr_reads_pairs_once_an_equation(spark, planted, monkeypatch):
+    """Biases come from sums of the equations, pairs are written once for both ways, and no join carries a vector for each pair."""
+    made = []
+    monkeypatch.setattr(alternating, "Blocks", lambda *a, **b: made.append(blocks.Blocks(*a, **b)) or made[-1])
+    stream = planted.select("u", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "i"))).alias("pos"), "i")
+    model = CFR({"d": 3, "num_iters": 1, "k": 1}).initialize(stream)
+    assert len(made) == 3 and model.contexts["w"] is model.contexts["c"] and not hasattr(model, "_biased")
+    model.step()
+    assert all(model.factors[name].columns == ["id", "vec", "bias"] and model.factors[name].where("bias <> 0").count() > 0 for name in "QC")
+
+
+def test_blocks_fit_their_memory():
+    """More vectors of the other side ask for smaller blocks, never for more than a block's entries."""
+    assert blocks.needed(216_000_000, 7_200_000, 8) > 1.5 * blocks.needed(216_000_000, 1_000_000, 8)
+    for entries, far, d in ((216_000_000, 7_200_000, 8), (360_000_000, 1_200_000, 8), (10**9, 10**9, 64), (5, 5, 8)):
+        one = entries / blocks.needed(entries, far, d)
+        assert one * blocks.ENTRY_BYTES + min(one, far) * 2 * (d + 2) * 8 <= blocks.BLOCK_BYTES * 1.01
+
+
+def test_a_block_takes_vectors_once_more():
+    """Half a million vectors of 32 MB and two million entries: 64 MB of vectors and 32 bytes an entry at most beside what came."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    far, vec = rng.permutation(500_000), rng.normal(size=(500_000, 8))
+    parts = [(side, ids, x) for side, ids, x in ((True, np.arange(100), np.zeros((100, 8))), *((False, far[k : k + 50_000], vec[k : k + 50_000]) for k in range(0, 500_000, 50_000)))]
+    factors = pa.table({"mine": [p[0] for p in parts], "ids": [p[1].tobytes() for p in parts], "vecs": [p[2].tobytes() for p in parts], "es": [np.zeros(len(p[1])).tobytes() for p in parts]})
+    ids = np.repeat(np.arange(100), 20_000)
+    entries = pa.Table.from_batches(pa.table({"id": ids, "far": np.tile(np.arange(0, 500_000, 25), 100), "v": np.ones(len(ids))}).to_batches(10_000))
+    tracemalloc.start()
+    t = blocks.Held(entries, factors, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    assert len(t.row) == len(ids) and np.array_equal(t.far[t.at[:20_000]], vec[np.argsort(far)][::25]) and not t.split.any()
