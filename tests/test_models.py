@@ -618,3 +618,23 @@ def test_a_block_takes_vectors_once_more():
     tracemalloc.stop()
     assert peak < 120 << 20
     assert len(t.row) == len(ids) and np.array_equal(t.far[t.at[:20_000]], vec[np.argsort(far)][::25]) and not t.split.any()
+
+
+def test_window_pairs_are_dealt_in_arrays(spark, monkeypatch):
+    """Strata of a stream's pairs are those of its rows of pairs, with streams whole and cut, batches and chunks of few places; no pair is exploded."""
+    stream = spark.range(900).select((F.col("id") % 7).cast("string").alias("u"), F.floor(F.col("id") / 7).alias("pos"), F.concat(F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(30))).alias("token"))
+    model = W2V({"d": 4, "window": 3, "min_count": 1, "sample": 0.02}).initialize(stream)
+    model.n_blocks, salts = 3, ((0,), (0, 1))
+    want = grid.strata(model.window_pairs(), "u", "i", 3, salts)
+    assert "Generate" not in model._strata(salts)._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda t: sorted((r.key, r.stage, r.kind, bytes(r.ids), bytes(r.vec)) for r in t.collect())
+    want = rows(want)
+    monkeypatch.setattr(words, "TOGETHER", 100)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for piece, batch in ((100_000, before), (100_000, 2), (20, 7)):
+            monkeypatch.setattr(words, "PIECE", piece)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert rows(model._strata(salts)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
