@@ -73,3 +73,17 @@ def test_sample_reads_few_rows_into_the_driver(spark):
     got = index.least(50, 3)
     assert [r.id for r in got.collect()] == [r.id for r in x.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(50).collect()]
     assert "xxhash64(id" in got._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_tuning_scans_all_rows_once(spark, metric, monkeypatch):
+    """What the sample should find is sought once, in one pass over the rows, and not with every number of probes."""
+    rng = np.random.default_rng(3)
+    x = table(spark, np.repeat(rng.normal(size=(300, 6)), 2, 0))
+    index, some = cells.Cells(x, metric, 16, 200), x.where("id % 20 = 1")
+    want = {(r.q, r.id) for r in serving.top_k(some, x, 5, metric, True).collect()}
+    assert {(r.q, r.id) for r in index._scanned(some, 5, True).collect()} == want and len(want) == 150
+    monkeypatch.setattr(serving, "top_k", None)
+    asked = []
+    monkeypatch.setattr(index, "recall", lambda *a, exact=None, **b: asked.append(exact) or 0.0)
+    assert index.tuned(0.95, sample=40).probes == index.cells and len(asked) == 4 and all(e is asked[0] and e.count() == 400 for e in asked)
