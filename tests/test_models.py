@@ -638,3 +638,15 @@ def test_window_pairs_are_dealt_in_arrays(spark, monkeypatch):
             assert rows(model._strata(salts)) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_warp_draws_only_for_open_rows(spark, planted, monkeypatch):
+    """Where the first draw always violates, no positive draws again; where none does, each draws ``max_trials`` times, in rounds that double."""
+    model = WARP({"d": 2, "max_trials": 60, "trials_at_once": 4, "threshold": 1e9}).initialize(planted)
+    asked, unseen = [], model._unseen
+    monkeypatch.setattr(model, "_unseen", lambda rows, first, n, columns: asked.append((rows.count(), first, n)) or unseen(rows, first, n, columns))
+    assert model.violations().where("t = 0").count() == model.n_rows and asked == [(model.n_rows, 0, 1)]
+    asked.clear()
+    model.opt["threshold"] = -1e9
+    assert model.violations().count() == 0
+    assert asked == [(model.n_rows, *x) for x in ((0, 1), (1, 3), (4, 8), (12, 16), (28, 32))]
