@@ -110,3 +110,23 @@ def test_parts_of_a_block_find_the_same(monkeypatch):
     whole = serving.best(q, x, 4, "dot", True, np.array([[3, 60], [9, 2]]))
     monkeypatch.setattr(serving, "SCORES", 700)
     assert all((a == b).all() for a, b in zip(whole, serving.best(q, x, 4, "dot", True, np.array([[3, 60], [9, 2]])), strict=True))
+
+
+def test_vectors_are_sent_as_often_as_the_other_side_is_cut():
+    """600 blocks of half a MB on both sides: a dozen copies of all vectors, not one for each block; a bundle stays under its size."""
+    per, groups = serving.tiles(600, 307 << 20, 600, 12)
+    assert -(-600 // per) + groups <= 16 and per * 307 / 600 <= 64 and -(-600 // per) * groups >= 48
+    per, groups = serving.tiles(6000, 3070 << 20, 6000, 12)
+    assert per * 3070 / 6000 <= 64 and groups == 1
+    assert serving.tiles(1, 100, 1, 8) == (1, 1) and serving.tiles(0, 0, 3, 8)[0] == 1
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_bundles_of_blocks_find_the_same(spark, metric):
+    """Several blocks in a bundle, with ties across blocks, pairs left out and queries themselves."""
+    rng = np.random.default_rng(5)
+    x = table(spark, np.repeat(rng.normal(size=(90, 4)), 2, 0))
+    seen = spark.createDataFrame([(int(q), int(i)) for q, i in rng.integers(0, 180, (400, 2))], "q long, id long")
+    for left_out in (None, seen):
+        one, many = ([tuple(r) for r in serving.top_k(x, x, 7, metric, True, seen=left_out, rows=rows).orderBy("q", "rank").collect()] for rows in (500, 3))
+        assert one == many and len(many) == 180 * 7
