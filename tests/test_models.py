@@ -650,3 +650,31 @@ def test_warp_draws_only_for_open_rows(spark, planted, monkeypatch):
     model.opt["threshold"] = -1e9
     assert model.violations().count() == 0
     assert asked == [(model.n_rows, *x) for x in ((0, 1), (1, 3), (4, 8), (12, 16), (28, 32))]
+
+
+def test_plsi_counts_are_not_copied(spark, planted, monkeypatch):
+    """A task's counts are as large as its vectors: they go out where they were summed."""
+    import pyarrow as pa
+
+    from millrace.models import plsi
+
+    class Seen(Exception):
+        pass
+
+    def each(own, far, d, run, schema):
+        raise Seen(run)
+
+    model, held = PLSI({"d": 3}).initialize(planted), []
+    monkeypatch.setattr(model.blocks, "each", each)
+    with pytest.raises(Seen) as seen:
+        model.step()
+    run = seen.value.args[0]
+    monkeypatch.setattr(plsi.np, "concatenate", lambda x, *a, f=np.concatenate, **b: held.append(sum(len(p) for p in x)) or f(x, *a, **b))
+
+    class Block:
+        ids, far_ids, row, at, v = np.arange(2), np.arange(500), np.zeros(500, np.int64), np.arange(500), np.ones(500)
+        own, far = np.ones((2, 3)), np.ones((500, 3))
+
+    out = run(Block)
+    assert isinstance(out, pa.Table) and out.num_rows == 503 and max(held, default=0) <= 501
+    assert np.isclose(sum(out["e"].combine_chunks().flatten().to_numpy()), 1000) and out["side"].to_pylist().count("i") == 500
